@@ -7,9 +7,10 @@ share a band in both collections: at similarity s with probability (1 - (1 - s^r
 and over 0.9999 at 0.85 for 12 bands of 3.
 
 Documents with one and the same set are one class, represented by its smallest id.  Within a table's bucket classes are
-verified on their full sets against a leader; those that a link has not joined meet another leader; what then is still
-apart within a bucket is verified pair by pair.  So a group of near copies costs its size, not its square, and no link
-between components is lost: pairs left out are already connected.
+verified on their full sets against a leader; those that a link has not joined meet another leader; of what
+then is still apart within a bucket, the pairs that an exact prefix filter leaves are verified (see :func:`_apart`).  So a
+group of near copies costs its size, not its square, and no link between components is lost: pairs left out are already
+connected or too different.
 
 Words: runs of characters other than ASCII blanks, A-Z in lower case.  A document with fewer words than a shingle has its
 whole sequence as one; one without words (null or empty text) has an empty set and links with nothing.  Shingles are
@@ -19,7 +20,7 @@ whole sequence as one; one without words (null or empty text) has an empty set a
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stage
@@ -151,6 +152,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return joined.mapInArrow(run, f"a {schema}, b {schema}")
 
 
+def _tokens(texts: DataFrame, k: int) -> DataFrame:
+    """(id, token): a row for each shingle of each text."""
+    import pyarrow as pa
+
+    kind = texts.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                found = [shingles(t, k) for t in part.column(1).cast(pa.binary()).to_pylist()]
+                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
+                tokens = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(tokens)], names=["id", "token"])
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, token long")
+
+
+def _apart(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts that may reach the similarity, by an exact prefix filter.
+
+    Two sets of x and y shingles that reach it share at least w = percent (x + y) / (100 + percent) of them.  With all
+    shingles in one order, the first x - w + 1 of one and the first y - w + 1 of the other then have one in common.  The
+    order is by how many of these documents have a shingle, rarest first; so far copies of one text, which differ by
+    words of their own, don't all meet.
+    """
+    here = rest.select("rep", "n", "part").distinct()
+    tokens = stage(_tokens(texts.join(here.select(F.col("rep").alias("id")), "id", "left_semi"), k), "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
+    # n - ceil(n percent / 100) + 1 is the most that any partner leaves.
+    first = tokens.join(counts, "token").withColumn("pos", place).join(here, F.col("id") == F.col("rep"))
+    first = first.where((F.col("df") > 1) & (F.col("pos") <= F.floor(F.col("n") * (100 - percent) / 100) + 1))
+    first = stage(first.select("token", "rep", "n", "part", "pos"), "first")
+    left, right = (first.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("rep", "n", "part", "pos"))) for x in "ab")
+    w = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    fits = (F.col("pos_a") <= F.col("n_a") - w + 1) & (F.col("pos_b") <= F.col("n_b") - w + 1)
+    pairs = left.join(right, "token").where((F.col("rep_a") < F.col("rep_b")) & (F.col("part_a") != F.col("part_b")) & fits)
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leaders: int = 2) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
@@ -159,30 +201,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     """
     sketched = stage(sketch(docs, k, id_col, text_col), "sketches")
     named = sketched.where("id is not null and f1 is not null")
-    classes = stage(named.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands")), "classes")
-    keys = classes.select("rep", F.explode(_tables()).alias("key"))
-    ends = keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    # Buckets of more than one class, with their members.
-    members = stage(keys.join(ends.select("key"), "key", "left_semi"), "members")
-    inside = members.select("rep").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(inside, F.col("id") == F.col("rep"), "left_semi")
+    classes = stage(named.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min("n_shingles").alias("n")), "classes")
+    bucket = Window.partitionBy("key")
+    keys = classes.select("rep", "n", F.explode(_tables()).alias("key"))
+    # Members of the buckets that hold more than one class: one shuffle of the keys.
+    members = keys.withColumn("low", F.min("rep").over(bucket)).withColumn("high", F.max("rep").over(bucket)).withColumn("size", F.count("*").over(bucket))
+    members = stage(members.where("low < high").select("rep", "n", "key", "size"), "members")
+    # The text that copies were made from meets more of them than they meet each other, so it is tried as leader first.
+    degree = members.groupBy(F.col("rep").alias("id")).agg(F.sum("size").alias("degree"))
+    members = stage(members.join(degree, members["rep"] == degree["id"]).select("rep", "n", "key", "degree"), "ranked")
+    inside = degree.select("id")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(inside, "id", "left_semi")
     texts = stage(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
+    similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
     links = None
     where = None
     for step in range(leaders + 1):
-        now = members if where is None else members.join(where, members["rep"] == where["id"], "left").select("rep", "key", F.coalesce("component_id", "rep").alias("part"))
         if where is None:
-            now = now.withColumn("part", F.col("rep"))
+            now = members.withColumn("part", F.col("rep"))
+        else:
+            now = members.join(where, members["rep"] == where["id"], "left").withColumn("part", F.coalesce("component_id", "rep")).drop("id", "component_id")
         if step < leaders:
-            order = F.xxhash64(F.lit(step), F.col("rep")) if step else F.col("rep")
-            lead = now.groupBy("key").agg(F.min_by(F.struct("rep", "part"), order).alias("lead"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "lead")
-            pairs = now.join(lead, "key").where("part <> lead.part").select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+            order = F.struct(F.xxhash64(F.lit(step), F.col("rep")), F.col("rep")) if step else F.struct(-F.col("degree"), F.col("rep"))
+            lead = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), "rep", "n", "part")).alias("lead"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "lead")
+            pairs = now.join(lead, "key").where((F.col("part") != F.col("lead.part")) & similar(F.col("n"), F.col("lead.n")))
+            pairs = pairs.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
         else:
-            mixed_keys = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-            rest = stage(now.join(mixed_keys, "key", "left_semi"), "rest")
-            left, right = (rest.select("key", F.col("rep").alias(x), F.col("part").alias(f"part_{x}")) for x in "ab")
-            pairs = left.join(right, "key").where("a < b and part_a <> part_b").select("a", "b")
+            several = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
+            pairs = _apart(stage(now.join(several, "key", "left_semi").select("rep", "n", "key", "part"), "rest"), texts, k, percent)
         found = stage(_verified(pairs.distinct(), texts, k, percent), "links")
         links = found if links is None else links.union(found)
         where = components(links)
