@@ -105,7 +105,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     halves = distinct.select("h1", "h2", F.explode("keys").alias("key"))
     alike = stage(_shared(halves, "key").select("h1", "h2").distinct(), "alike")
     texts = _maybe_in(lines.where(F.col("n") >= near_chars).select("h1", "h2", "n", "line"), _bits(alike))
-    texts = texts.join(alike, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
+    # An inner join with distinct rows; a semi-join would be moved below the filter and shuffle every line's text.
+    texts = texts.join(alike, ["h1", "h2"]).groupBy("h1", "h2").agg(F.any_value("line").alias("line"))
     texts = stage(texts, "texts")
     cut = texts.select("h1", "h2", F.explode(_segments(F.col("line"), F.length("line"))).alias("s")).select("h1", "h2", "s.key", "s.middle")
     close = _shared(cut, "key").select("h1", "h2", F.explode(_variants(F.col("key"), F.col("middle"))).alias("variant"))
