@@ -36,7 +36,7 @@ class Template:
 
 #: Notices by which licences are commonly named in files.
 TEMPLATES = (
-    Template("mit", "MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("mit license",)),
+    Template("mit", "MIT License", ("mit license",)),
     Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction", ("permission is hereby granted", "without restriction")),
     Template("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "2 0")),
     Template("gpl-3.0", "is licensed under the GNU General Public License, version 3", ("gnu general public license", "3")),

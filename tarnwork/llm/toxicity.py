@@ -211,8 +211,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, min_docs: i
     return lexicon
 
 
-def choose(found: list[tuple[str, int, int]], bad_docs: int, good_docs: int, max_terms: int = 4000, least: float = 2.3) -> dict[str, float]:
-    """Terms whose smoothed log-odds exceed ``least`` and are at least 3 standard errors above none.
+def choose(found: list[tuple[str, int, int]], bad_docs: int, good_docs: int, max_terms: int = 4000, least: float = 2.3, evidence: float = 13.0) -> dict[str, float]:
+    """Terms whose smoothed log-odds exceed ``least``, and whose share of toxic documents chance would give with a
+    probability below about exp(-``evidence``): of some 10^5 candidates none should be there by luck.
 
     A word start gives way to an extension that covers nine tenths of its toxic documents ("tra" to "trash"); of what
     is left, a longer pattern stays beside its own start only where it is clearly heavier.
@@ -227,8 +228,7 @@ def choose(found: list[tuple[str, int, int]], bad_docs: int, good_docs: int, max
         if extended.get(term, 0) >= 0.9 * support[term]:
             continue
         odds = math.log((bad + 0.5) / (bad_docs + 1)) - math.log((good + 0.5) / (good_docs + 1))
-        error = math.sqrt(1 / (bad + 0.5) + 1 / (good + 0.5) if good else 1 / (bad + 0.5) + 0.25)
-        if odds >= least and odds - 3.0 * error > 0:
+        if odds >= least and _evidence(bad, good, bad_docs / (bad_docs + good_docs)) >= evidence:
             weights[term] = odds
     out: dict[str, float] = {}
     for term in sorted(weights, key=lambda t: (len(t), t)):
@@ -239,6 +239,13 @@ def choose(found: list[tuple[str, int, int]], bad_docs: int, good_docs: int, max
     return dict(sorted(best))
 
 
+def _evidence(bad: int, good: int, rate: float) -> float:
+    """Documents times the divergence of their toxic share from the overall rate."""
+    n = bad + good
+    out = bad * math.log(bad / n / rate)
+    return out + (good * math.log(good / n / (1 - rate)) if good else 0.0)
+
+
 def fit_curve(x: np.ndarray, y: np.ndarray, prior: tuple[int, int], ridge: float = 1.0, steps: int = 40) -> tuple[float, float, float, float]:
     """Logistic regression by Newton's method with a small ridge; classes weigh alike, as the sample is by class."""
     a = np.c_[np.ones(len(x)), x]
