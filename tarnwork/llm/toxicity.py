@@ -140,8 +140,8 @@ def _candidates(text: str, shortest: int = 3, longest: int = 9) -> set[str]:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> DataFrame:
-    """(text, toxic) of a bounded sample of the labelled rows outside the held-out fifth, expected ``per_class`` rows a class.
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 6000) -> tuple[DataFrame, float]:
+    """(text, toxic) and the logarithm of how much oftener clean rows were chosen than toxic ones; of a bounded sample of the labelled rows outside the held-out fifth, expected ``per_class`` rows a class.
 
     Rows are chosen by a hash of the id at a rate that the class counts give, so the sample is the same at each run and
     its size does not grow with the corpus.  An id labelled twice counts with its larger label.
@@ -153,7 +153,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 6000) ->
     for label, n in sizes.items():
         rate = F.when(F.col("toxic") == label, min(1.0, per_class / n)).otherwise(rate)
     chosen = known.where(part < rate)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # bounded by per_class
+    rates = [min(1.0, per_class / sizes[label]) if sizes.get(label) else 1.0 for label in (0, 1)]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")  # bounded by per_class
+    return rows, math.log(rates[0] / rates[1])
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, min_docs: int = 4, max_terms: int = 4000) -> Lexicon:
@@ -166,7 +168,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, min_docs: i
 
     spark = docs.sparkSession
     ship(spark)
-    rows = training_rows(docs, labels, per_class)
+    rows, chosen = training_rows(docs, labels, per_class)
     longest = 1_000_000
 
     def count(batches):
@@ -207,7 +209,8 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, min_docs: i
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in got], pa.float64()) for k in range(3)), batch.column(1).cast(pa.int32())], names=["a", "b", "c", "y"])
 
     table = np.array([tuple(r) for r in rows.mapInArrow(feature, "a double, b double, c double, y int").collect()], float)  # bounded by per_class
-    lexicon.curve = fit_curve(table[:, :3], (table[:, 3] > 0).astype(float), prior=sizes)
+    bias, *rest = fit_curve(table[:, :3], (table[:, 3] > 0).astype(float))
+    lexicon.curve = (bias + chosen, *rest)  # back to the shares that the labelled rows have
     return lexicon
 
 
@@ -246,16 +249,15 @@ def _evidence(bad: int, good: int, rate: float) -> float:
     return out + (good * math.log(good / n / (1 - rate)) if good else 0.0)
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, prior: tuple[int, int], ridge: float = 1.0, steps: int = 40) -> tuple[float, float, float, float]:
-    """Logistic regression by Newton's method with a small ridge; classes weigh alike, as the sample is by class."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> tuple[float, float, float, float]:
+    """Logistic regression by Newton's method with a small ridge."""
     a = np.c_[np.ones(len(x)), x]
     w = np.zeros(4)
-    weight = np.where(y > 0, 1.0, prior[0] / max(1, prior[1])) if prior[1] > prior[0] else np.ones(len(y))
     penalty = np.diag([1e-3, ridge, ridge, ridge])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        grad = a.T @ (weight * (p - y)) + penalty @ w
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + penalty, grad)
+        grad = a.T @ (p - y) + penalty @ w
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
