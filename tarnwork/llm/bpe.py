@@ -15,6 +15,7 @@ import base64
 import hashlib
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -72,6 +73,7 @@ class Encoder:
         self.vocab = [b""] * (max(ranks.values()) + 1)
         for token, k in ranks.items():
             self.vocab[k] = token
+        self.decimal = [b"%d" % k for k in range(len(self.vocab))]
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         found = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = PairTable(*np.array(found, np.int64).reshape(-1, 3).T)
@@ -112,7 +114,7 @@ class Encoder:
         for m in matches:
             raw = m.encode("utf-8", "surrogatepass")
             if (k := self.ranks.get(raw)) is not None:
-                self.cache[m] = ((k,), b"%d" % k)
+                self.cache[m] = ((k,), self.decimal[k])
             else:
                 by.setdefault(len(raw), []).append((m, raw))
         for length, group in by.items():
@@ -122,20 +124,18 @@ class Encoder:
                 raw = np.frombuffer(b"".join(x[1] for x in part), np.uint8).reshape(len(part), length)
                 for rows, ids in self.merge(self.bytes[raw]):
                     for r, row in zip(rows.tolist(), ids.tolist(), strict=True):
-                        self.cache[part[r][0]] = (tuple(row), b",".join(b"%d" % i for i in row))
+                        self.cache[part[r][0]] = (tuple(row), b",".join(map(self.decimal.__getitem__, row)))
 
     def encode(self, texts: list[str]):
-        """For each text its ids and their decimal forms, as lists with an entry a match."""
-        cache = self.cache
-        for text in texts:
-            matches = self.split(text)
-            missing = {m for m in matches if m not in cache}
-            if missing:
-                if len(cache) + len(missing) > self.cache_size:
-                    cache.clear()
-                    missing = set(matches)
-                self.learn(list(missing))
-            yield [cache[m] for m in matches]
+        """For each text a list with, for every match, its ids and their decimal form."""
+        split = [self.split(t) for t in texts]
+        new = set(chain.from_iterable(split)).difference(self.cache)
+        if len(self.cache) + len(new) > self.cache_size:
+            self.cache.clear()
+            new = set(chain.from_iterable(split))
+        self.learn(list(new))
+        for matches in split:
+            yield list(map(self.cache.__getitem__, matches))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
@@ -150,16 +150,16 @@ def load(path: str, pattern: str | None = None) -> Encoder:
     return Encoder(ranks, pattern or public_tokenizers.PATTERN)
 
 
-def _prime(encoder: Encoder, texts: list[str]) -> None:
-    """Encode a batch's new matches together, so that the matrices are full."""
-    new: set[str] = set()
-    for text in texts:
-        new.update(encoder.split(text))
-    new = {m for m in new if m not in encoder.cache}
-    if len(encoder.cache) + len(new) > encoder.cache_size:
-        encoder.cache.clear()
-    if len(new) <= encoder.cache_size:
-        encoder.learn(list(new))
+def _groups(texts: list[str], rows: int = 1024, chars: int = 4_000_000):
+    """(start, end) of groups of texts that are encoded together: large enough to fill the matrices, bounded in size."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and (k - start >= rows or size + len(t) > chars):
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,25 +169,19 @@ def tokenize(docs: DataFrame, path: str, pattern: str | None = None, with_ids: b
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
+    first, second = itemgetter(0), itemgetter(1)
+
     def run(batches):
         encoder = load(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for start, end in _groups(texts):
+                part = batch.slice(start, end - start)
                 counts, shas, plain, packed = [], [], [], []
-                for text in texts:
-                    matches = encoder.split(text)
-                    missing = {m for m in matches if m not in encoder.cache}
-                    if missing:
-                        _prime(encoder, texts)
-                        if any(m not in encoder.cache for m in missing):
-                            encoder.cache.clear()
-                            encoder.learn(list(set(matches)))
-                    found = [encoder.cache[m] for m in matches]
-                    ids = list(chain.from_iterable(x[0] for x in found))
+                for found in encoder.encode(texts[start:end]):
+                    ids = list(chain.from_iterable(map(first, found)))
                     counts.append(len(ids))
-                    shas.append(hashlib.sha256(b",".join([x[1] for x in found])).hexdigest())
+                    shas.append(hashlib.sha256(b",".join(map(second, found))).hexdigest())
                     plain.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
                     if with_ids:
                         packed.append(np.array(ids, "<u4").tobytes())

@@ -303,3 +303,13 @@ def test_pipeline(spark):
     last = {r["doc_id"] for r in p.run(spark, SF).collect()}
     assert last <= clean
     assert F
+
+
+def test_bpe_with_a_small_cache(docs):
+    """A cache that overflows again and again changes nothing."""
+    encoder = bpe.Encoder(bpe.load(tokenizers.path("byte_bpe_multi_50k.tiktoken")).ranks, tokenizers.PATTERN, cache=50)
+    whole = bpe.load(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = [t for _, t in texts_of(docs)][:40]
+    for k in range(0, 40, 3):
+        part = texts[k : k + 3]
+        assert list(encoder.encode(part)) == list(whole.encode(part))
