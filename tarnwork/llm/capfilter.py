@@ -7,7 +7,7 @@ that pass a common filter are candidates and are verified in double precision.
 
 For n vectors a filter lets a share p of random directions pass, about 12/n, and K is such that a vector passes about
 ``passes`` filters.  Two vectors of cosine c both pass a filter that one of them passes with probability over a half at
-c = 0.95; so with 150 passes, dealt over three independent codes, practically no link is missed (recall is measured in the tests).
+c = 0.95; so with 110 passes, dealt over three independent codes, practically no link is missed (recall is measured in the tests).
 
 Equal vectors are one class before any filter, so copies cost nothing.  A filter that more than ``chunk`` classes pass
 is compared chunk with chunk by several tasks.  Vectors that are null, zero, hold null or non-finite components, or lack
@@ -69,11 +69,20 @@ def settings(n: int, d: int, passes: float) -> tuple[int, float]:
     return max(8, math.ceil(math.sqrt(passes / p))), NormalDist().inv_cdf(1 - p) / math.sqrt(d + d % 2)
 
 
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)  # no overflow in the squares
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _links(classes: DataFrame, n: int, cosine: float, passes: float, chunk: int) -> DataFrame:
     """(a, b), a < b: classes whose vectors reach the cosine."""
     import pyarrow as pa
 
     kind = classes.schema["rep"].dataType.simpleString()
+    # Vectors travel in their own precision; single precision is half the shuffle and loses nothing.
+    real = np.float32 if classes.schema["vector"].dataType.simpleString() == "array<float>" else np.float64
 
     def run(batches):
         for batch in batches:
@@ -86,22 +95,23 @@ def _links(classes: DataFrame, n: int, cosine: float, passes: float, chunk: int)
             for d, at in by.items():
                 for lo in range(0, len(at), 512):
                     part = at[lo : lo + 512]
-                    x = np.array([rows[i] for i in part], np.float64)
-                    x /= np.abs(x).max(1, keepdims=True)  # no overflow in the squares
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    raw = np.array([rows[i] for i in part], real)
+                    x = _units(raw)
                     lists = [decode(x, *settings(n, d, passes / CODES), c) for c in range(CODES)]
-                    for i, v, *f in zip(part, x, *lists, strict=True):
+                    for i, v, *f in zip(part, raw, *lists, strict=True):
                         found[i], packed[i] = np.concatenate([(c << 60) + (d << 44) + g for c, g in enumerate(f)]), v.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "unit", "filters"])
 
     passed = stage(classes.select("rep", "vector").mapInArrow(run, f"rep {kind}, unit binary, filters array<long>"), "filters")
     rows = passed.select("rep", "unit", F.explode("filters").alias("filter"))
-    counts = passed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).where("n > 1")
-    counts = stage(counts.select("filter", F.ceil(F.col("n") / chunk).alias("parts"), "n"), "counts")
+    counts = passed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / chunk))
+    counts = stage(counts, "counts")
     work = counts.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
     bins = max(1, math.ceil(work / 20_000))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    met = rows.join(counts, "filter").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # Only filters of several chunks are joined, so that vectors are shuffled once: to the tasks that compare them.
+    several = stage(counts.where("parts > 1").select("filter", "parts"), "several")
+    met = rows.join(several, "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+    met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.select("rep", "unit", "filter", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") <= F.col("other")).alias("first"))
     met = met.withColumn("bin", F.pmod(F.xxhash64("filter", "u", "v"), F.lit(bins)))
 
@@ -117,7 +127,7 @@ def _links(classes: DataFrame, n: int, cosine: float, passes: float, chunk: int)
         for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(key)], strict=True):
             if hi - lo < 2:
                 continue
-            x = np.frombuffer(b"".join(units[lo:hi]), np.float64).reshape(hi - lo, -1)
+            x = _units(np.frombuffer(b"".join(units[lo:hi]), real).reshape(hi - lo, -1))
             i, j = np.nonzero(x @ x.T >= cosine)
             keep = i < j
             if key[lo, 1] != key[lo, 2]:
@@ -130,7 +140,7 @@ def _links(classes: DataFrame, n: int, cosine: float, passes: float, chunk: int)
     return met.groupBy("bin").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b").distinct()
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.95, passes: float = 150, chunk: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.95, passes: float = 110, chunk: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) of every row: direct links, smallest id reachable, whether that is its own."""
     ship(vectors.sparkSession)
     v = F.col(vector_col)
