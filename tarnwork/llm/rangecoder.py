@@ -3,10 +3,11 @@
 Three predictions of the next id compete: the id that last followed the two ids before it (order 2), the id that last
 followed the one before it (order 1), and the prevailing id of the block (order 0).  One symbol says which of them holds,
 or that none does; its distribution is learned in the context of which predictions agree and which held last, so the
-weights of the orders adapt.  An id that none predicts follows as a literal of ``id_bits`` bits.
+weights of the orders adapt.  An id that none predicts is a literal: it follows in a stream of its own, uncoded, in 16 or
+32 bits.
 
-Every block starts from nothing and ends with a checksum, so blocks can be decoded alone.  For speed all blocks of a
-segment advance together: numpy arrays hold one lane a block.
+Every block starts from nothing and has a checksum, and the directory says where its words and literals lie, so blocks
+can be decoded alone.  For speed all blocks of a segment advance together: numpy arrays hold one lane a block.
 """
 
 from __future__ import annotations
@@ -16,17 +17,24 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TWS1"
+MAGIC = b"TWS2"
 _SLOTS = 1024
-_TOP_BITS = 12
-_TOP = 1 << _TOP_BITS
-_RATE = 4
 _U = np.uint64
-_32 = _U(32)
+_16, _32 = _U(16), _U(32)
 _LOW = _U(0xFFFFFFFF)
+_LOW16 = _U(0xFFFF)
 _ONE32 = _U(1 << 32)
-#: Where the boundaries of the four symbols move to when symbol s occurs; every symbol keeps a little.
-_AIM = np.array([[0] + [(_TOP - (4 - k) * 8 if k > s else k * 8) for k in (1, 2, 3)] + [_TOP] for s in range(4)], np.int64)
+
+
+def _packed(*bounds: int) -> int:
+    return sum(x << 16 * k for k, x in enumerate(bounds, 1))
+
+
+#: The boundaries between the four symbols, of 65536, are packed in one word, and one subtraction and one addition move
+#: all three: a sixteenth off, then a sixteenth of where they go when symbol s occurs.  They stay ordered and apart.
+_START = _U(_packed(1 << 14, 2 << 14, 3 << 14))
+_AIM = np.array([_packed(4088, 4090, 4092), _packed(2, 4090, 4092), _packed(2, 4, 4092), _packed(2, 4, 6)], _U)
+_PART = _U(_packed(0xFFF, 0xFFF, 0xFFF))
 
 
 class _Model:
@@ -34,33 +42,31 @@ class _Model:
         self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
         self.two = np.full(lanes * _SLOTS, -1, np.int32)
         self.one = np.full(lanes * _SLOTS, -1, np.int32)
-        self.zero = np.full(lanes, -1, np.int64)
-        self.votes = np.zeros(lanes, np.int64)
-        self.prev1 = np.zeros(lanes, np.int64)
-        self.prev2 = np.zeros(lanes, np.int64)
+        self.zero = np.full(lanes, -1, np.int32)
+        self.votes = np.zeros(lanes, np.int32)
+        self.prev1 = np.zeros(lanes, np.int32)
+        self.prev2 = np.zeros(lanes, np.int32)
         self.last = np.full(lanes, 3, np.int64)
-        self.cdf = np.tile(np.array([0, 1, 2, 3, 4], np.int64) * (_TOP // 4), (lanes * 32, 1))
-        self.flat = self.cdf.reshape(-1)
+        self.cdf = np.full(lanes * 32, _START, _U)
         self.rows = np.arange(lanes, dtype=np.int64) * 32
 
     def predict(self, n: int) -> None:
-        base, p1 = self.base[:n], self.prev1[:n]
-        self.at2 = base + (((self.prev2[:n] * 40503 + p1 * 2654435761) >> 7) & (_SLOTS - 1))
-        self.at1 = base + (p1 & (_SLOTS - 1))
+        base, p1 = self.base[:n], self.prev1[:n].view(np.uint32)
+        self.at2 = base + ((self.prev2[:n].view(np.uint32) * np.uint32(40503) + p1 * np.uint32(2654435761)) >> np.uint32(22))
+        self.at1 = base + (p1 & np.uint32(_SLOTS - 1))
         self.p2 = self.two[self.at2]
         self.p1 = self.one[self.at1]
         self.p0 = self.zero[:n]
-        self.ctx = self.rows[:n] + (self.last[:n] * 8 + (self.p2 == self.p1) * 4 + (self.p1 == self.p0) * 2 + (self.p2 >= 0))
+        self.ctx = self.rows[:n] + (self.last[:n] * 8 + ((self.p2 == self.p1) * np.int8(4) + (self.p1 == self.p0) * np.int8(2) + (self.p2 >= 0)))
+        self.bounds = self.cdf[self.ctx]
 
     def update(self, n: int, ids: np.ndarray, s: np.ndarray) -> None:
-        c = self.cdf[self.ctx]
-        c += (_AIM[s] - c) >> _RATE
-        self.cdf[self.ctx] = c
+        self.cdf[self.ctx] = self.bounds - ((self.bounds >> _U(4)) & _PART) + _AIM[s]
         self.two[self.at2] = ids
         self.one[self.at1] = ids
         votes, zero = self.votes[:n], self.zero[:n]
-        votes += np.where(ids == zero, 1, -1)
-        lost = votes < 0
+        votes += (ids == zero) * np.int8(2) - np.int8(1)
+        lost = np.flatnonzero(votes < 0)
         zero[lost] = ids[lost]
         votes[lost] = 1
         self.last[:n] = s
@@ -71,7 +77,7 @@ class _Model:
 def _blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     """(steps, lanes) matrix of ids, and lengths; all lanes but the last are full."""
     lanes = max(1, -(-len(ids) // block))
-    wide = np.zeros(lanes * block, np.int64)
+    wide = np.zeros(lanes * block, np.int32)
     wide[: len(ids)] = ids
     lengths = np.full(lanes, block, np.int64)
     lengths[-1] = len(ids) - (lanes - 1) * block
@@ -83,15 +89,15 @@ def block_size(n: int) -> int:
     return int(min(4096, max(512, n // 512)))
 
 
-def encode_ids(ids: np.ndarray, block: int, id_bits: int) -> list[np.ndarray]:
-    """The words (32 bits) of each block."""
+def encode_ids(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The words (32 bits) and the literals of each block."""
     steps, lengths = _blocks(ids, block)
     lanes = len(lengths)
     m = _Model(lanes)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out = np.zeros((lanes, block + 4), np.uint32)
     pos = np.zeros(lanes, np.int64)
-    bits, top = _U(id_bits), _U(_TOP_BITS)
+    literal = np.zeros((block, lanes), bool)
     for t in range(block):
         n = lanes if t < lengths[-1] else lanes - 1
         if not n:
@@ -99,19 +105,14 @@ def encode_ids(ids: np.ndarray, block: int, id_bits: int) -> list[np.ndarray]:
         sym = steps[t, :n]
         m.predict(n)
         s = np.where(sym == m.p2, 0, np.where(sym == m.p1, 1, np.where(sym == m.p0, 2, 3)))
-        at = m.ctx * 5 + s
-        lo = m.flat[at].view(_U)
-        hi = m.flat[at + 1].view(_U)
-        r = rng[:n] >> top
-        low[:n] += r * lo
-        rng[:n] = r * (hi - lo)
-        k = np.nonzero(s == 3)[0]
-        if len(k):
-            r = rng[k] >> bits
-            low[k] += r * sym[k].view(_U)
-            rng[k] = r
+        np.equal(s, 3, out=literal[t, :n])
+        at = m.bounds >> (s.view(_U) << _U(4))
+        a, b = low[:n], rng[:n]
+        b >>= _16
+        a += b * (at & _LOW16)
+        b *= ((at >> _16) - at) & _LOW16  # the last symbol ends at 65536, which is 0 here
         m.update(n, sym, s)
-        k = np.nonzero(rng[:n] < _ONE32)[0]
+        k = np.flatnonzero(b < _ONE32)
         if len(k):
             a, b = low[k], rng[k]
             apart = ((a ^ (a + b - _U(1))) >> _32) != 0
@@ -124,10 +125,11 @@ def encode_ids(ids: np.ndarray, block: int, id_bits: int) -> list[np.ndarray]:
     lane = np.arange(lanes)
     out[lane, pos] = (low >> _32).astype(np.uint32)
     out[lane, pos + 1] = (low & _LOW).astype(np.uint32)
-    return [out[i, : pos[i] + 2] for i in range(lanes)]
+    wide, chosen = np.ascontiguousarray(steps.T), np.ascontiguousarray(literal.T)
+    return [out[i, : pos[i] + 2] for i in range(lanes)], [wide[i, chosen[i]] for i in range(lanes)]
 
 
-def decode_ids(words: list[np.ndarray], n_ids: int, block: int, id_bits: int) -> np.ndarray:
+def decode_ids(words: list[np.ndarray], literals: list[np.ndarray], n_ids: int, block: int) -> np.ndarray:
     lanes = len(words)
     lengths = np.full(lanes, block, np.int64)
     lengths[-1] = n_ids - (lanes - 1) * block
@@ -135,37 +137,34 @@ def decode_ids(words: list[np.ndarray], n_ids: int, block: int, id_bits: int) ->
     table = np.zeros((lanes, width), _U)
     for i, w in enumerate(words):
         table[i, : len(w)] = w
+    ahead = np.append(np.concatenate(literals).astype(np.int32), np.zeros(1, np.int32))
+    next_literal = np.cumsum([0, *(len(x) for x in literals)])[:-1]
     code = (table[:, 0] << _32) | table[:, 1]
     pos = np.full(lanes, 2, np.int64)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     m = _Model(lanes)
-    out = np.zeros((block, lanes), np.int64)
-    bits, top = _U(id_bits), _U(_TOP_BITS)
+    out = np.zeros((block, lanes), np.int32)
     for t in range(block):
         n = lanes if t < lengths[-1] else lanes - 1
         if not n:
             break
         m.predict(n)
-        r = rng[:n] >> top
-        off = code[:n] - low[:n]
-        at = m.ctx * 5
-        c1, c2, c3 = (m.flat[at + j].view(_U) for j in (1, 2, 3))
-        s = (off >= r * c1).astype(np.int64) + (off >= r * c2) + (off >= r * c3)
-        lo = m.flat[at + s].view(_U)
-        hi = m.flat[at + s + 1].view(_U)
-        low[:n] += r * lo
-        rng[:n] = r * (hi - lo)
-        sym = np.where(s == 0, m.p2, np.where(s == 1, m.p1, m.p0)).astype(np.int64)
-        k = np.nonzero(s == 3)[0]
-        if len(k):
-            r = rng[k] >> bits
-            v = (code[k] - low[k]) // r
-            sym[k] = v.view(np.int64)
-            low[k] += r * v
-            rng[k] = r
+        a, b = low[:n], rng[:n]
+        b >>= _16
+        off = code[:n] - a
+        c = m.bounds
+        s = (off >= b * ((c >> _16) & _LOW16)).astype(np.int64) + (off >= b * ((c >> _32) & _LOW16)) + (off >= b * (c >> _U(48)))
+        at = c >> (s.view(_U) << _U(4))
+        a += b * (at & _LOW16)
+        b *= ((at >> _16) - at) & _LOW16
+        is_literal = s == 3
+        # Where damage makes a lane ask for too many literals, the checksum tells.
+        told = ahead[np.minimum(next_literal[:n], len(ahead) - 1)]
+        next_literal[:n] += is_literal
+        sym = np.where(is_literal, told, np.where(s == 0, m.p2, np.where(s == 1, m.p1, m.p0)))
         out[t, :n] = sym
         m.update(n, sym, s)
-        k = np.nonzero(rng[:n] < _ONE32)[0]
+        k = np.flatnonzero(b < _ONE32)
         if len(k):
             a, b = low[k], rng[k]
             apart = ((a ^ (a + b - _U(1))) >> _32) != 0
@@ -175,19 +174,20 @@ def decode_ids(words: list[np.ndarray], n_ids: int, block: int, id_bits: int) ->
             pos[k] += 1
             low[k] = a << _32
             rng[k] = b << _32
-    return np.ascontiguousarray(out.T).reshape(-1)[:n_ids]
+    return np.ascontiguousarray(out.T).reshape(-1)[:n_ids].astype(np.int64)
 
 
 def pack(ids: np.ndarray, id_bits: int = 16) -> bytes:
-    """A segment: header, then for each block its word count and the CRC-32 of its ids, then the words."""
-    if len(ids) and int(ids.max()) >> id_bits:
-        raise ValueError("an id needs more bits than id_bits")
+    """A segment: header; for each block its counts of words and literals and the CRC-32 of its ids; words; literals."""
+    if len(ids) and int(ids.max()) >> min(id_bits, 31):
+        raise ValueError("an id needs more bits than id_bits, or than 31")
     block = block_size(len(ids))
-    words = encode_ids(ids, block, id_bits) if len(ids) else []
+    words, literals = encode_ids(ids, block) if len(ids) else ([], [])
     raw = np.ascontiguousarray(ids, "<u4")
     sums = [zlib.crc32(raw[k * block : (k + 1) * block]) for k in range(len(words))]
-    directory = np.array([[len(w) for w in words], sums], "<u4").T.tobytes() if words else b""
-    return MAGIC + struct.pack("<QIIB", len(ids), block, len(words), id_bits) + directory + b"".join(w.astype("<u4").tobytes() for w in words)
+    directory = np.array([[len(w) for w in words], [len(x) for x in literals], sums], "<u4").T.tobytes()
+    kind = "<u2" if id_bits <= 16 else "<u4"
+    return b"".join([MAGIC, struct.pack("<QIIB", len(ids), block, len(words), id_bits), directory, *(w.astype("<u4").tobytes() for w in words), *(x.astype(kind).tobytes() for x in literals)])
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -198,12 +198,14 @@ def unpack(data: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, np.int64)
     at = 4 + struct.calcsize("<QIIB")
-    directory = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(blocks, 2)
-    at += 8 * blocks
-    words = np.split(np.frombuffer(data, "<u4", offset=at), np.cumsum(directory[:-1, 0]))
-    ids = decode_ids(words, n, block, id_bits)
+    directory = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(blocks, 3).astype(np.int64)
+    at += 12 * blocks
+    n_words = int(directory[:, 0].sum())
+    words = np.split(np.frombuffer(data, "<u4", n_words, at), np.cumsum(directory[:-1, 0]))
+    literals = np.split(np.frombuffer(data, "<u2" if id_bits <= 16 else "<u4", offset=at + 4 * n_words), np.cumsum(directory[:-1, 1]))
+    ids = decode_ids(words, literals, n, block)
     raw = np.ascontiguousarray(ids, "<u4")
     for k in range(blocks):
-        if zlib.crc32(raw[k * block : (k + 1) * block]) != directory[k, 1]:
+        if zlib.crc32(raw[k * block : (k + 1) * block]) != directory[k, 2]:
             raise ValueError(f"block {k} is damaged")
     return ids
