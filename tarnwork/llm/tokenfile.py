@@ -9,6 +9,7 @@ Ids ascend, null first; rows of one id are ordered by text.  Null texts are empt
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from functools import lru_cache
@@ -26,36 +27,72 @@ SEGMENT_IDS = 4_000_000
 SEGMENTS = "shard int, seg long, n_docs long, n_ids long, data binary"
 
 
+#: Letters that normalisation only lower-cases, then signs (no apostrophe): two pieces to the vocabulary's splitter.
+_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
 class WordEncoder:
     """The library's encoding of whole texts, put together from its encodings of their words.
 
     The vocabularies' splitters never match across blanks, so a text's ids are those of its blank-separated words in
-    turn; words are given to the library once and remembered, up to ``cache`` words.
+    turn; words are given to the library once and remembered, about ``cache`` words.  Words of plain letters, with or
+    without signs behind them, are lower-cased and split here, and their letters go to the library many at a time,
+    without its normaliser; a piece's last id is one that ends a word.  All other words go through the library whole.
     """
 
     def __init__(self, path: str, cache: int = 600_000):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.library.encode_special_tokens = self.letters.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
         self.size, self.cache = cache, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [_plain(t).split(" ") for t in texts]
         cache = self.cache
-        new = set(chain.from_iterable(split)).difference(cache)
+        new = {w for w in chain.from_iterable(split) if w not in cache}
         if len(cache) + len(new) > self.size:
             cache.clear()
             new = set(chain.from_iterable(split))
-        listed = list(new)
-        for k in range(0, len(listed), 20_000):
-            part = listed[k : k + 20_000]
-            coded = self.library.encode_batch_fast(part, add_special_tokens=False)
-            cache.update((w, _PACK[len(ids)](*ids) if len(ids) < 16 else struct.pack(f"<{len(ids)}I", *ids)) for w, ids in zip(part, (e.ids for e in coded), strict=True))
+        self.learn(new)
         return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split]
 
+    def learn(self, new: set[str], step: int = 2000) -> None:
+        cache = self.cache
+        heads, whole, parts = set(), set(), []
+        for w in new:
+            if found := _SIMPLE(w):
+                head, tail = found.groups()
+                head = head.lower()
+                parts.append((w, head, tail))
+                if head not in cache:
+                    heads.add(head)
+                if tail not in cache:
+                    whole.add(tail)
+            else:
+                whole.add(w)
+        listed = list(heads)
+        for k in range(0, len(listed), step):
+            some = listed[k : k + step]
+            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(some, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
+                cache[w] = raw[begin:end]
+                begin = end
+        listed = list(whole)
+        for k in range(0, len(listed), step):
+            some = listed[k : k + step]
+            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                cache[w] = np.array(e.ids, "<u4").tobytes()
+        for w, head, tail in parts:
+            cache[w] = cache[head] + cache[tail] if tail else cache[head]
+
 
-_PACK = [struct.Struct(f"<{k}I").pack for k in range(16)]
 def _plain(text: str) -> str:
     for blank in "\n\t\r\x0b\x0c":
         if blank in text:
