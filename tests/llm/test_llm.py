@@ -313,3 +313,17 @@ def test_bpe_with_a_small_cache(docs):
     for k in range(0, 40, 3):
         part = texts[k : k + 3]
         assert list(encoder.encode(part)) == list(whole.encode(part))
+
+
+def test_word_encoder_equals_the_library():
+    """Words of both paths: plain letters with signs behind them, and what only the library's normaliser can treat."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = ["", " ", "a\0b", "é́x É Ünï. ÿŸ ÀÖ×÷ ß ẞ İ", "don't we're 'S it's. x' O'Ve,", "<|endoftext|> a<|endoftext|>!", "1a2 b3. (x) ...a -- a-b a.b", "\u00a0x\u2003y \u200bz", "ﬁ ① Σας ΣΑΣ", "a\u0301 b", "日本 語。", "\U0001f600!! x", "é" * 3000 + "." * 5000]
+    encoder = tokenfile.WordEncoder(path, cache=8)  # overflows again and again
+    for t in texts + texts:
+        assert encoder.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert [x.tolist() for x in tokenfile.WordEncoder(path).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
