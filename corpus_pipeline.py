@@ -56,7 +56,7 @@ STAGES = [
     ("byte-level bpe", encode),
 ]
 
-#: The last stage's ids are not expressible in SQL; tests hold run() against a brute-force version.
+#: The last stage's ids are not expressible in SQL; tests hold stages' columns, the toxic documents and each operator by itself to brute force, not yet all rows of run().
 ORACLE_SQL = None
 
 
