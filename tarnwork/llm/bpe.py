@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import groups, ship
 
 NONE = np.int32(2**31 - 1)
 _EMPTY = np.int64(-1)
@@ -150,18 +150,6 @@ def load(path: str, pattern: str | None = None) -> Encoder:
     return Encoder(ranks, pattern or public_tokenizers.PATTERN)
 
 
-def _groups(texts: list[str], rows: int = 1024, chars: int = 4_000_000):
-    """(start, end) of groups of texts that are encoded together: large enough to fill the matrices, bounded in size."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        if k > start and (k - start >= rows or size + len(t) > chars):
-            yield start, k
-            start, size = k, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def tokenize(docs: DataFrame, path: str, pattern: str | None = None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row; ids are little-endian 32-bit words."""
     import pyarrow as pa
@@ -175,7 +163,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str | None = None, with_ids: b
         encoder = load(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for start, end in _groups(texts):
+            for start, end in groups(texts):
                 part = batch.slice(start, end - start)
                 counts, shas, plain, packed = [], [], [], []
                 for found in encoder.encode(texts[start:end]):

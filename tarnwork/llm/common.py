@@ -57,6 +57,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def groups(texts: list[str], rows: int = 1024, chars: int = 4_000_000):
+    """(start, end) of groups of texts that are encoded together: large enough to fill matrices, bounded in size."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if k > start and (k - start >= rows or size + len(t) > chars):
+            yield start, k
+            start, size = k, 0
+        size += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that extra columns can't clash with what an operator adds."""
     return df.select(*names)

@@ -9,18 +9,16 @@ Ids ascend, null first; rows of one id are ordered by text.  Null texts are empt
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import ship
+from .common import groups, ship
 
 #: Ids that a segment holds, but for a longer last document.
 SEGMENT_IDS = 4_000_000
@@ -28,16 +26,17 @@ SEGMENTS = "shard int, seg long, n_docs long, n_ids long, data binary"
 
 
 #: Letters that normalisation only lower-cases, then signs (no apostrophe): two pieces to the vocabulary's splitter.
-_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+_SIMPLE = "^(?P<head>[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)(?P<tail>[!-&(-/:-@\\[-`{-~]*)$"
 
 
 class WordEncoder:
-    """The library's encoding of whole texts, put together from its encodings of their words.
+    """The library's encoding of whole texts, put together from its encodings of pieces of their words.
 
     The vocabularies' splitters never match across blanks, so a text's ids are those of its blank-separated words in
-    turn; words are given to the library once and remembered, about ``cache`` words.  Words of plain letters, with or
-    without signs behind them, are lower-cased and split here, and their letters go to the library many at a time,
-    without its normaliser; a piece's last id is one that ends a word.  All other words go through the library whole.
+    turn.  Distinct words of plain letters, with or without signs behind them, are lower-cased and split into letters
+    and signs; letters go to the library many at a time, without its normaliser, where a piece's last id is one that ends
+    a word.  All other words, and signs, go through the library whole.  About ``cache`` pieces are remembered.  Words are
+    split and counted as Arrow columns, and their ids gathered with numpy, so Python sees distinct pieces only.
     """
 
     def __init__(self, path: str, cache: int = 600_000):
@@ -50,47 +49,53 @@ class WordEncoder:
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
-        self.size, self.cache = cache, {}
+        self.size, self.heads, self.whole = cache, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_plain(t).split(" ") for t in texts]
-        cache = self.cache
-        new = {w for w in chain.from_iterable(split) if w not in cache}
-        if len(cache) + len(new) > self.size:
-            cache.clear()
-            new = set(chain.from_iterable(split))
-        self.learn(new)
-        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u4") for words in split]
-
-    def learn(self, new: set[str], step: int = 2000) -> None:
-        cache = self.cache
-        heads, whole, parts = set(), set(), []
-        for w in new:
-            if found := _SIMPLE(w):
-                head, tail = found.groups()
-                head = head.lower()
-                parts.append((w, head, tail))
-                if head not in cache:
-                    heads.add(head)
-                if tail not in cache:
-                    whole.add(tail)
-            else:
-                whole.add(w)
-        listed = list(heads)
-        for k in range(0, len(listed), step):
-            some = listed[k : k + step]
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        split = pc.split_pattern(pa.array(map(_plain, texts), pa.large_string()), " ")
+        words = split.flatten().dictionary_encode()
+        found = pc.extract_regex(words.dictionary, _SIMPLE)
+        simple = found.is_valid()
+        heads = pc.utf8_lower(pc.struct_field(found, "head").filter(simple)).dictionary_encode()
+        tails = pc.struct_field(found, "tail").filter(simple).dictionary_encode()
+        others = words.dictionary.filter(pc.invert(simple))
+        pieces = self.pieces(heads.dictionary.to_pylist(), tails.dictionary.to_pylist() + others.to_pylist())
+
+        # Each distinct word is two pieces; the last of all is the empty one.
+        pair = np.full((len(words.dictionary), 2), len(pieces), np.int32)
+        known, n_heads, n_tails = simple.to_numpy(zero_copy_only=False), len(heads.dictionary), len(tails.dictionary)
+        pair[known, 0] = heads.indices.to_numpy()
+        pair[known, 1] = tails.indices.to_numpy() + n_heads
+        pair[~known, 0] = np.arange(len(others)) + n_heads + n_tails
+        length = np.append(np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4, np.int32(0))
+        start = np.cumsum(length, dtype=np.int64) - length
+        ids = np.frombuffer(b"".join(pieces), "<u4")
+        told = pair[words.indices.to_numpy()].ravel()
+        size = length[told]
+        ends = np.cumsum(size, dtype=np.int64)
+        whole = ids[np.repeat(start[told] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[2 * split.offsets.to_numpy()].tolist()
+        return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def pieces(self, heads: list[str], whole: list[str], step: int = 2000) -> list[bytes]:
+        """Little-endian ids of lower-case letters, then of what needs the library whole."""
+        if len(self.heads) + len(self.whole) + len(heads) + len(whole) > self.size:
+            self.heads, self.whole = {}, {}
+        new = [w for w in heads if w not in self.heads]
+        for k in range(0, len(new), step):
+            some = new[k : k + step]
             ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(some, (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), strict=True):
-                cache[w] = raw[begin:end]
-                begin = end
-        listed = list(whole)
-        for k in range(0, len(listed), step):
-            some = listed[k : k + step]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        for w, head, tail in parts:
-            cache[w] = cache[head] + cache[tail] if tail else cache[head]
+            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            self.heads.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+        new = [w for w in whole if w not in self.whole]
+        for k in range(0, len(new), step):
+            some = new[k : k + step]
+            found = self.library.encode_batch_fast(some, add_special_tokens=False)
+            self.whole.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
+        return [*map(self.heads.__getitem__, heads), *map(self.whole.__getitem__, whole)]
 
 
 def _plain(text: str) -> str:
@@ -134,10 +139,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_bits:
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seg], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([data], pa.binary())], names=["shard", "seg", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                coded = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-                for name, x in zip(part.column(0).to_pylist(), coded, strict=True):
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for begin, end in groups(texts, 8192, 8_000_000):
+                names_here = batch.column(0).slice(begin, end - begin).to_pylist()
+                for name, x in zip(names_here, encoder.encode(texts[begin:end]), strict=True):
                     ids.append(np.append(x, np.uint32(end_id)))
                     names.append(name)
                     held += len(x) + 1
