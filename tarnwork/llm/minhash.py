@@ -104,6 +104,15 @@ def bands(found: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _bytes(batch, *columns: int):
+    """The rows of text columns as bytes; copies of few rows' texts exist at once, not of a whole Arrow batch's."""
+    import pyarrow as pa
+
+    for at in range(0, batch.num_rows, 64):
+        part = batch.slice(at, 64)
+        yield from zip(*(part.column(c).cast(pa.binary()).to_pylist() for c in columns), strict=True)
+
+
 def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, f1, f2, bands): f1 and f2 stand for the whole set; bands is null for an empty one."""
     import pyarrow as pa
@@ -114,7 +123,7 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         for batch in batches:
             n, f1, f2, b = [], [], [], []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for (text,) in _bytes(batch, 1):
                 found = shingles(text or b"", k)
                 n.append(len(found))
                 if len(found):
@@ -141,7 +150,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
         last, held = None, None
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).cast(pa.binary()).to_pylist(), strict=True):
+            for x, y in _bytes(batch, 2, 3):
                 if x != last:
                     last, held = x, shingles(x, k)
                 other = shingles(y, k)
