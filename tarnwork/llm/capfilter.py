@@ -3,11 +3,17 @@
 Filter directions form a structured random product code: a rotated vector is cut in two, each half has K random unit
 directions, and every pair of them is a filter.  A vector passes the filters whose inner product with it reaches a
 threshold; they are list-decoded from the 2K inner products of the halves, K * K filters are never looked at.  Vectors
-that pass a common filter are candidates and are verified in double precision.
+that pass a common filter are candidates and are verified.
 
-For n vectors a filter lets a share p of random directions pass, about 12/n, and K is such that a vector passes about
-``passes`` filters.  Two vectors of cosine c both pass a filter that one of them passes with probability over a half at
-c = 0.95; so with 110 passes, dealt over three independent codes, practically no link is missed (recall is measured in the tests).
+For n vectors of d components a filter lets a share p of random directions pass: 12/n, or more where two vectors of the
+sought cosine would both pass a filter that one of them passes with a chance below ``MEET``.  Threshold and chance come
+from the measure of caps on the sphere, which in few dimensions is far from the normal distribution's.  K is such that a
+vector passes about ``passes`` filters, dealt over three independent codes, whatever n and d are.  A vector whose halves
+are of unlike length passes few; it is given its best filters instead, half of the mean at least.  So practically no
+link is missed (recall is measured in the tests).  Where filters would compare as many pairs as there are (few vectors,
+or few components), all vectors of one length pass one common filter, and the result is exact.
+
+Vectors travel to their filters in half precision.  What the rounding leaves undecided is verified in double precision.
 
 Equal vectors are one class before any filter, so copies cost nothing.  A filter that more than ``chunk`` classes pass
 is compared chunk with chunk by several tasks.  Vectors that are null, zero, hold null or non-finite components, or lack
@@ -18,7 +24,6 @@ from __future__ import annotations
 
 import math
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,43 +35,93 @@ from .components import components
 
 #: Independent codes: a pair that one is unlucky with meets in another.
 CODES = 3
+#: Least chance that of two vectors at the sought cosine one passes a filter that the other passes.
+MEET = 0.3
+#: Vectors of fewer components are compared pair by pair: the product code fits them badly.
+EXACT = 8
 
 
 @lru_cache(8)
 def _code(d: int, k: int, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A rotation and the directions of both halves, from a fixed seed."""
     rng = np.random.default_rng([d, k, number])
-    wide = d + d % 2
-    q = np.linalg.qr(rng.standard_normal((wide, wide)))[0][:, :d]
+    q = np.linalg.qr(rng.standard_normal((d, d)))[0]
     halves = []
-    for _ in range(2):
-        c = rng.standard_normal((k, wide // 2))
+    for wide in (d // 2, d - d // 2):
+        c = rng.standard_normal((k, wide))
         halves.append(c / np.linalg.norm(c, axis=1, keepdims=True))
     return q, *halves
 
 
-def decode(x: np.ndarray, k: int, threshold: float, number: int = 0) -> list[np.ndarray]:
-    """The filters, numbered i * k + j, that each unit row of ``x`` passes."""
+def decode(x: np.ndarray, k: int, threshold: float, number: int = 0, least: int = 0) -> list[np.ndarray]:
+    """The filters, numbered i * k + j, that each unit row of ``x`` passes; its ``least`` best ones if it passes fewer."""
     q, one, two = _code(x.shape[1], k, number)
     y = x @ q.T
-    half = y.shape[1] // 2
+    half = x.shape[1] // 2
     s, t = y[:, :half] @ one.T / math.sqrt(2), y[:, half:] @ two.T / math.sqrt(2)
     out = []
-    for a, b, least in zip(s, t, threshold - t.max(1), strict=True):
-        i = np.flatnonzero(a >= least)
-        if not len(i):
-            out.append(np.zeros(0, np.int64))
-            continue
-        j = np.flatnonzero(b >= threshold - a[i].max())
-        u, v = np.nonzero(a[i][:, None] + b[j][None, :] >= threshold)
-        out.append(i[u] * k + j[v])
+    for a, b, low in zip(s, t, threshold - t.max(1), strict=True):
+        i = np.flatnonzero(a >= low)
+        f = np.zeros(0, np.int64)
+        if len(i):
+            j = np.flatnonzero(b >= threshold - a[i].max())
+            u, v = np.nonzero(a[i][:, None] + b[j][None, :] >= threshold)
+            f = i[u] * k + j[v]
+        out.append(f if len(f) >= least else _best(a, b, k, least))
     return out
 
 
-def settings(n: int, d: int, passes: float) -> tuple[int, float]:
-    """K and the threshold for n vectors of d components."""
-    p = min(0.02, max(1e-7, 12 / max(1, n)))
-    return max(8, math.ceil(math.sqrt(passes / p))), NormalDist().inv_cdf(1 - p) / math.sqrt(d + d % 2)
+def _best(a: np.ndarray, b: np.ndarray, k: int, least: int) -> np.ndarray:
+    """The filters of the largest sums; they join directions that are among the ``least`` best of either half."""
+    i, j = (np.argsort(-x, kind="stable")[:least] for x in (a, b))
+    sums = (a[i][:, None] + b[j][None, :]).ravel()
+    u, v = np.divmod(np.argsort(-sums, kind="stable")[:least], len(j))
+    return i[u] * k + j[v]
+
+
+@lru_cache(64)
+def _caps(d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Angles, and the share of random directions in d > 1 dimensions within each of a fixed direction."""
+    angle = np.linspace(0, math.pi, 20_001)
+    density = np.sin(angle).clip(0) ** (d - 2)
+    share = np.append(0.0, np.cumsum(density[1:] + density[:-1]))
+    return angle, share / share[-1]
+
+
+def _meet(d: int, widest: float, cosine: float) -> float:
+    """The chance that a vector is within the angle ``widest`` of a direction, if one at this cosine from it is; d > 2."""
+    angle = np.linspace(0, widest, 2001)[1:]
+    weight = (np.sin(angle) / math.sin(min(widest, math.pi / 2))) ** (d - 2)
+    need = (math.cos(widest) - cosine * np.cos(angle)) / (math.sqrt(max(1e-12, 1 - cosine * cosine)) * np.sin(angle))
+    return float(weight @ np.interp(np.arccos(need.clip(-1, 1)), *_caps(d - 1)) / weight.sum())
+
+
+@lru_cache(1024)
+def settings(n: int, d: int, passes: float, cosine: float = 0.95) -> tuple[int, float] | None:
+    """K and the threshold of one code for n vectors of d components; None if all pairs are no more than filters would compare."""
+    if d < EXACT:
+        return None
+    angle, share = _caps(d)
+    low, high = float(np.interp(max(1e-7, 12 / max(24, n)), share, angle)), math.pi / 2
+    if _meet(d, low, cosine) < MEET:
+        for _ in range(40):
+            middle = (low + high) / 2
+            low, high = (low, middle) if _meet(d, middle, cosine) >= MEET else (middle, high)
+        low = high
+    p = float(np.interp(low, angle, share))
+    if 2 * CODES * passes * p >= 1:
+        return None
+    return max(8, math.ceil(math.sqrt(passes / p))), math.cos(low)
+
+
+def filters(x: np.ndarray, n: int, passes: float, cosine: float = 0.95) -> list[np.ndarray]:
+    """The filters of all codes that each unit row of ``x`` passes, of n vectors of its length."""
+    d = x.shape[1]
+    found = settings(n, d, passes / CODES, cosine)
+    if found is None:
+        return [np.array([d << 44])] * len(x)
+    lists = [decode(x, *found, c, math.ceil(passes / CODES / 2)) for c in range(CODES)]
+    return [np.concatenate([(c << 60) + (d << 44) + g for c, g in enumerate(f)]) for f in zip(*lists, strict=True)]
 
 
 def _units(x: np.ndarray) -> np.ndarray:
@@ -76,13 +131,17 @@ def _units(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _links(classes: DataFrame, n: int, cosine: float, passes: float, chunk: int) -> DataFrame:
-    """(a, b), a < b: classes whose vectors reach the cosine."""
+def _slack(d: int) -> float:
+    """By how much, at most, an inner product of unit vectors in half precision, summed in single precision, may be off."""
+    half = 2.0**-11 + math.sqrt(d) * 2.0**-25
+    return 2 * half + half * half + (d + 8) * 2.0**-23
+
+
+def _links(classes: DataFrame, n: dict[int, int], cosine: float, passes: float, chunk: int) -> DataFrame:
+    """(a, b), a < b: classes whose vectors reach the cosine; ``n`` has the number of classes of each vector length."""
     import pyarrow as pa
 
     kind = classes.schema["rep"].dataType.simpleString()
-    # Vectors travel in their own precision; single precision is half the shuffle and loses nothing.
-    real = np.float32 if classes.schema["vector"].dataType.simpleString() == "array<float>" else np.float64
 
     def run(batches):
         for batch in batches:
@@ -95,11 +154,9 @@ def _links(classes: DataFrame, n: int, cosine: float, passes: float, chunk: int)
             for d, at in by.items():
                 for lo in range(0, len(at), 512):
                     part = at[lo : lo + 512]
-                    raw = np.array([rows[i] for i in part], real)
-                    x = _units(raw)
-                    lists = [decode(x, *settings(n, d, passes / CODES), c) for c in range(CODES)]
-                    for i, v, *f in zip(part, raw, *lists, strict=True):
-                        found[i], packed[i] = np.concatenate([(c << 60) + (d << 44) + g for c, g in enumerate(f)]), v.tobytes()
+                    x = _units(np.array([rows[i] for i in part]))
+                    for i, v, f in zip(part, x.astype(np.float16), filters(x, n[d], passes, cosine), strict=True):
+                        found[i], packed[i] = f, v.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "unit", "filters"])
 
     passed = stage(classes.select("rep", "vector").mapInArrow(run, f"rep {kind}, unit binary, filters array<long>"), "filters")
@@ -123,21 +180,36 @@ def _links(classes: DataFrame, n: int, cosine: float, passes: float, chunk: int)
         cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         reps, first = rows["rep"].to_numpy(), rows["first"].to_numpy()
         units = rows["unit"].to_numpy()
-        out_a, out_b = [], []
+        out_a, out_b, sure = [], [], []
         for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(key)], strict=True):
             if hi - lo < 2:
                 continue
-            x = _units(np.frombuffer(b"".join(units[lo:hi]), real).reshape(hi - lo, -1))
-            i, j = np.nonzero(x @ x.T >= cosine)
+            x = np.frombuffer(b"".join(units[lo:hi]), np.float16).reshape(hi - lo, -1).astype(np.float32)
+            products, slack = x @ x.T, _slack(x.shape[1])
+            i, j = np.nonzero(products >= cosine - slack)
             keep = i < j
             if key[lo, 1] != key[lo, 2]:
                 keep &= first[lo:hi][i] != first[lo:hi][j]
             out_a.append(reps[lo:hi][i[keep]])
             out_b.append(reps[lo:hi][j[keep]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            sure.append(products[i[keep], j[keep]] >= cosine + slack)
+        a, b, sure = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, sure))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure.astype(bool)}).drop_duplicates()
+
+    near = met.groupBy("bin").applyInPandas(compare, f"a {kind}, b {kind}, sure boolean").where("a <> b")
+    near = stage(near.groupBy("a", "b").agg(F.max("sure").alias("sure")), "near")
+    doubtful = near.where("not sure").select("a", "b")
+    for side in "ab":
+        doubtful = doubtful.join(classes.select(F.col("rep").alias(side), F.col("vector").alias(f"v{side}")), side)
+
+    def verify(batches):
+        for batch in batches:
+            u, v = (batch.column(k).to_pylist() for k in (2, 3))
+            reached = [float(np.dot(*_units(np.array(p)))) >= cosine for p in zip(u, v, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(reached, pa.bool_()))
 
-    return met.groupBy("bin").applyInPandas(compare, f"a {kind}, b {kind}").where("a <> b").distinct()
+    verified = doubtful.select("a", "b", "va", "vb").mapInArrow(verify, f"a {kind}, b {kind}")
+    return near.where("sure").select("a", "b").union(verified.distinct())  # ids may repeat
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, passes: float = 110, chunk: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -149,7 +221,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, passes: float = 11
     rows = vectors.select(F.col(id_col).alias("id"), F.when(sound, v).alias("vector"))
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("members"))
     classes = stage(classes, "classes")
-    n = classes.count()
+    n = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row a length
     links = stage(_links(classes, n, cosine, passes, chunk), "links")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = classes.groupBy("rep").agg(F.sum("members").alias("members"))

@@ -327,3 +327,28 @@ def test_word_encoder_equals_the_library():
     for t in texts + texts:
         assert encoder.encode([t])[0].tolist() == library.encode(t, add_special_tokens=False).ids
     assert [x.tolist() for x in tokenfile.WordEncoder(path).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("n,d", [(500, 4), (10**5, 8), (10**4, 16), (10**6, 16), (10**6, 32), (10**6, 33), (10**6, 64), (10**7, 64)])
+def test_cap_filters_keep_recall_and_work(n, d):
+    """Pairs at cosine 0.95 with the settings of n vectors: the work a vector stays as given, and no pair is lost."""
+    rng = np.random.default_rng(d)
+    x, z = rng.standard_normal((2, 300, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    fx, fy = capfilter.filters(x, n, 110), capfilter.filters(y, n, 110)
+    assert all(set(a.tolist()) & set(b.tolist()) for a, b in zip(fx, fy, strict=True))
+    if capfilter.settings(n, d, 110 / capfilter.CODES):
+        assert 90 < np.mean([len(f) for f in fx]) < 150 and min(map(len, fx)) >= 55
+
+
+@pytest.mark.parametrize("d", [4, 16])
+def test_embeddings_of_few_components(spark, d):
+    rng = np.random.default_rng(d)
+    x = rng.standard_normal((4000 if d > 4 else 700, d))
+    x[1::2] = x[::2] / np.linalg.norm(x[::2], axis=1, keepdims=True) + 0.33 * x[1::2] / np.linalg.norm(x[1::2], axis=1, keepdims=True)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in capfilter.near_duplicates(table).collect()}
+    assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
