@@ -52,6 +52,21 @@ TEMPLATES = (
     Template("cc0", "dedicated to the public domain under CC0 1.0 Universal", ("cc0",)),
     Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution",)),
     Template("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    # The notice that the Free Software Foundation asks for.
+    Template("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", ("gnu general public license", "version 3")),
+    Template("gpl-2.0", "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License", ("gnu general public license", "version 2")),
+    # Titles.
+    Template("apache-2.0", "Apache License, Version 2.0", ("apache license", "2 0")),
+    Template("gpl-3.0", "GNU General Public License, Version 3", ("gnu general public license", "version 3")),
+    Template("gpl-2.0", "GNU General Public License, Version 2", ("gnu general public license", "version 2")),
+    Template("lgpl", "GNU Lesser General Public License", ("gnu lesser general public license",)),
+    Template("agpl", "GNU Affero General Public License", ("gnu affero general public license",)),
+    Template("mpl-2.0", "Mozilla Public License, Version 2.0", ("mozilla public license", "2 0")),
+    Template("bsd", "BSD 3-Clause License", ("bsd 3 clause",)),
+    Template("bsd", "BSD 2-Clause License", ("bsd 2 clause",)),
+    Template("isc", "ISC License", ("isc license",)),
+    Template("cc0", "CC0 1.0 Universal", ("cc0",)),
+    Template("cc-by", "Creative Commons Attribution 4.0 International", ("creative commons attribution 4 0",)),
 )
 
 _WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -75,6 +90,7 @@ class Index:
         for k, ws in enumerate(self.tokens):
             for i, w in enumerate(ws):
                 self.postings[w].append((k, i))
+        self.needed = [frozenset(w for p in ps for w in p) for ps in self.mandatory]
         self.weight = [sum(self.idf[w] for w in set(ws)) for ws in self.tokens]
         self.anchors = {w for ws in self.tokens for w in sorted(set(ws), key=lambda w: (-self.idf[w], w))[:anchors]}
         self.watched = self.anchors | {p[0] for p in BASE_WORDS}
@@ -94,15 +110,18 @@ class Index:
         for phrase, label in zip(BASE_WORDS, BASE.values(), strict=True):
             n = len(phrase)
             base.extend((i, label) for i in at.get(phrase[0], ()) if ws[i : i + n] == phrase)
-        found = []
+        found: list[tuple[float, int, int, int, str]] = []
+        here = set(ws)
+        possible = [here.issuperset(needed) for needed in self.needed]
         votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
         for w in self.anchors & at.keys():
             for k, i in self.postings[w]:
-                for j in at[w]:
-                    votes[k, j - i].add(w)
+                if possible[k]:
+                    for j in at[w]:
+                        votes[k, j - i].add(w)
         done: dict[int, int] = {}
         for (k, start) in sorted(votes):
-            if start <= done.get(k, -1):
+            if k in done and start <= done[k]:  # a notice that lacks its first words may start before the text
                 continue
             lo, hi = max(0, start - 3), max(0, start + len(self.tokens[k]) + 3)
             window = ws[lo:hi]
@@ -115,9 +134,14 @@ class Index:
             near = {w for i, w in enumerate(self.tokens[k]) if any(abs(p - i) <= 3 for p in places.get(w, ()))}
             score = sum(self.idf[w] for w in near) / self.weight[k]
             if score >= (self.share if len(self.mandatory[k]) > 1 else self.share / 2):
-                found.append((lo + min((j for j, w in enumerate(window) if w in near), default=0), self.templates[k].label, min(1.0, score)))
                 done[k] = start + len(self.tokens[k]) - 1
-        return len(ws), sorted(base), sorted(found)
+                found.append((min(1.0, score), start, done[k], lo + min((j for j, w in enumerate(window) if w in near), default=0), self.templates[k].label))
+        # Several templates of a label may match at one place: the best stays.
+        best: dict[str, list[tuple[int, int, int, float]]] = defaultdict(list)
+        for score, start, end, place, label in sorted(found, key=lambda x: (-x[0], *x[1:])):
+            if all(end < a or start > b for a, b, _, _ in best[label]):
+                best[label].append((start, end, place, score))
+        return len(ws), sorted(base), sorted((place, label, score) for label, xs in best.items() for _, _, place, score in xs)
 
 
 BASE_WORDS = [[w.encode() for w in p] for p in BASE]

@@ -352,3 +352,31 @@ def test_embeddings_of_few_components(spark, d):
     table = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["n_links"] for r in capfilter.near_duplicates(table).collect()}
     assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
+
+
+NOTICES = {
+    "Apache License Version 2.0, January 2004": "apache-2.0",
+    "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "lgpl",
+    "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007": "agpl",
+    "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007": "gpl-3.0",
+    "GNU GENERAL PUBLIC LICENSE Version 2, June 1991": "gpl-2.0",
+    "Mozilla Public License Version 2.0": "mpl-2.0",
+    "CC0 1.0 Universal": "cc0",
+    "Creative Commons Attribution 4.0": "cc-by",
+    "BSD 3-Clause License": "bsd",
+    "BSD 2-Clause License": "bsd",
+    "ISC License": "isc",
+    "MIT License": "mit",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3.0",
+    "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": "gpl-2.0",
+}
+
+
+def test_licenses_at_the_start_of_a_text(docs):
+    for index in (licenses.Index(), licenses.build(docs)):
+        for text, label in NOTICES.items():
+            for before in ("", "one ", "one two three ", "one two three four five six seven eight nine ten "):
+                found = index.scan(before + text)[2]
+                assert [x for _, x, _ in found] == [label], (before, text)
+        assert [x for _, x, _ in index.scan("of the apache license, version 2.0. " + "x " * 20 + "Apache License, Version 2.0")[2]] == ["apache-2.0"] * 2
+        assert index.scan("the general public may enter; a license in version 3 is 2 0 for all")[2] == []
