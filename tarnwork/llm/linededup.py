@@ -62,9 +62,14 @@ def _segments(line: Column, n: Column) -> Column:
     return F.array(*out)
 
 
+def _tail(middle: Column, i: Column) -> Column:
+    """All that follows character i, however long."""
+    return F.substring(middle, i + 1, F.length(middle))
+
+
 def _variants(key: Column, middle: Column) -> Column:
     """Hashes of the segment and of each of its one-character deletions, within the key."""
-    cut = lambda i: F.xxhash64(key, F.concat(F.left(middle, i - 1), F.substring(middle, i + 1, 1_000_000)))
+    cut = lambda i: F.xxhash64(key, F.concat(F.left(middle, i - 1), _tail(middle, i)))
     deleted = F.when(F.length(middle) > 0, F.transform(F.sequence(F.lit(1), F.length(middle)), cut)).otherwise(F.array().cast("array<bigint>"))
     return F.array_distinct(F.concat(F.array(F.xxhash64(key, middle)), deleted))
 
@@ -128,8 +133,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     base = docs.withColumn("_hash", F.xxhash64(text_col))
     joined = base.join(gone, base[id_col].eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_th")), "left")
     lines = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
+    # The text is split once; within the function it would be split for every line.
+    stay = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(stay, "\n"))
     return (
         joined.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))

@@ -37,8 +37,8 @@ def op4_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a document: its lines, those that went, and a digest of what is left of the text."""
-    found = linededup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    """One row a document: its lines, those that went, and a digest of what is left of the text.  Exact repeats go at every length but 0."""
+    found = linededup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=1)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 

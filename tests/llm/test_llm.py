@@ -380,3 +380,17 @@ def test_licenses_at_the_start_of_a_text(docs):
                 assert [x for _, x, _ in found] == [label], (before, text)
         assert [x for _, x, _ in index.scan("of the apache license, version 2.0. " + "x " * 20 + "Apache License, Version 2.0")[2]] == ["apache-2.0"] * 2
         assert index.scan("the general public may enter; a license in version 3 is 2 0 for all")[2] == []
+
+
+def test_line_dedup_of_short_and_of_huge_lines(spark, tmp_path):
+    from tarnwork.llm import queries
+
+    texts = [(1, "yes\n\nno"), (2, "yes\n\nnot"), (3, "no\nyes\nyes!")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_removed"], r["text_sha256"]) for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in [(1, 0, "yes\n\nno"), (2, 1, "\nnot"), (3, 2, "yes!")]}
+    # The tail of a deletion variant is whole: middles that differ only beyond 1,000,000 characters stay apart.
+    lines = spark.range(1).select(F.concat(F.repeat(F.lit("ab"), 600_000), F.lit("x")).alias("a"), F.concat(F.repeat(F.lit("ab"), 600_000), F.lit("y")).alias("b"))
+    first = lambda c: F.concat(F.left(c, F.lit(0)), linededup._tail(c, F.lit(1)))
+    row = lines.select(F.length(first(F.col("a"))).alias("n"), (first(F.col("a")) == first(F.col("b"))).alias("same")).first()
+    assert (row["n"], row["same"]) == (1_200_000, False)
