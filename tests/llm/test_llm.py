@@ -394,3 +394,11 @@ def test_line_dedup_of_short_and_of_huge_lines(spark, tmp_path):
     first = lambda c: F.concat(F.left(c, F.lit(0)), linededup._tail(c, F.lit(1)))
     row = lines.select(F.length(first(F.col("a"))).alias("n"), (first(F.col("a")) == first(F.col("b"))).alias("same")).first()
     assert (row["n"], row["same"]) == (1_200_000, False)
+
+
+def test_toxicity_of_a_rare_class(spark):
+    """At 1% toxic rows a term of lift over 12 is judged, though far more clean rows have it."""
+    rows = [(i, ("zorgle " if (i % 300 if i % 100 == 0 else i % 23 == 0) else "") + "plain words here", int(i % 100 == 0)) for i in range(6000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    assert any(t.startswith(" zor") for t in toxicity.learn(docs, labels).terms)
