@@ -1,13 +1,17 @@
-"""Adaptive range coder for token ids, all blocks of a segment in step.
+"""Adaptive context-mixing range coder for token ids: every id is coded by a mixture of order-0 to order-2 predictions.
 
-Three predictions of the next id compete: the id that last followed the two ids before it (order 2), the id that last
-followed the one before it (order 1), and the prevailing id of the block (order 0).  One symbol says which of them holds,
-or that none does; its distribution is learned in the context of which predictions agree and which held last, so the
-weights of the orders adapt.  An id that none predicts is a literal: it follows in a stream of its own, uncoded, in 16 or
-32 bits.
+A block's ids are dealt to lanes, runs of neighbouring ids that advance in step, so that numpy works on all lanes at once;
+all lanes of a block share one model, which each step's ids update together.  The probability of an id is a sum:
 
-Every block starts from nothing and has a checksum, and the directory says where its words and literals lie, so blocks
-can be decoded alone.  For speed all blocks of a segment advance together: numpy arrays hold one lane a block.
+* order 2: the id that prevails after the two ids before, if it is this one, with a share of its own;
+* order 1: likewise each of the ``ONE`` ids that prevail after the id before;
+* order 0: what is left of the whole, dealt by the frequencies of all ids of the block so far, none of them zero.
+
+The shares are the mixing weights.  They adapt: the share of a prediction is how often predictions of like confidence
+have held so far, among the cases that no earlier one has told.  The sum gives each id one interval of the range coder.
+
+A block starts from nothing, has a checksum, and the directory says where it lies, so blocks can be decoded alone.
+Integers only, so files read the same on every machine.
 """
 
 from __future__ import annotations
@@ -17,195 +21,253 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TWS2"
-_SLOTS = 1024
+MAGIC = b"TWS3"
+#: Ids of a block, ids of a lane where there are enough, and lanes at most.
+BLOCK, STEPS, LANES = 1 << 20, 256, 4096
+#: Predictions of order 1.
+ONE = 2
+_WHOLE = 28  # bits of the mixture
+_BASE = 22  # bits of the order-0 frequencies
+_TWO_BITS = 18
+#: The largest shares of each prediction, of 65536, so that a 64th of the whole and more is left for order 0.
+_MOST = [58982, 39321, 26214]
 _U = np.uint64
-_16, _32 = _U(16), _U(32)
+_32, _W = _U(32), _U(_WHOLE)
 _LOW = _U(0xFFFFFFFF)
-_LOW16 = _U(0xFFFF)
 _ONE32 = _U(1 << 32)
 
 
-def _packed(*bounds: int) -> int:
-    return sum(x << 16 * k for k, x in enumerate(bounds, 1))
+#: Small classes of counts from 0 to 255: the first few apart, then ever wider.
+_CLASS = np.array([k if k < 5 else min(15, 2 * k.bit_length() + (k >> k.bit_length() - 2 & 1) - 2) for k in range(256)], np.int64)
 
 
-#: The boundaries between the four symbols, of 65536, are packed in one word, and one subtraction and one addition move
-#: all three: a sixteenth off, then a sixteenth of where they go when symbol s occurs.  They stay ordered and apart.
-_START = _U(_packed(1 << 14, 2 << 14, 3 << 14))
-_AIM = np.array([_packed(4088, 4090, 4092), _packed(2, 4090, 4092), _packed(2, 4, 4092), _packed(2, 4, 6)], _U)
-_PART = _U(_packed(0xFFF, 0xFFF, 0xFFF))
+class _Model:
+    """What all lanes of a block have learned.  Where lanes of one step change the same entry, the last one's change stays."""
 
+    def __init__(self, lanes: int, size: int):
+        self.size = size
+        self.counts, self.seen = np.zeros(size, np.int64), 0
+        self.base = np.zeros(size + 1, np.int64)
+        # An entry is an id above eight bits of how firmly it prevails; -1 is none.
+        self.two = np.full(1 << _TWO_BITS, -1, np.int32)
+        self.one = np.full((size, ONE), -1, np.int32)
+        self.total = np.zeros(size, np.uint8)
+        # Cases and hits of each prediction, by confidence.
+        self.tries = np.full((ONE + 1, 256), 32, np.int64)
+        self.hits = np.full((ONE + 1, 256), 1, np.int64)
+        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
-class _Model:
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) * _SLOTS
-        self.two = np.full(lanes * _SLOTS, -1, np.int32)
-        self.one = np.full(lanes * _SLOTS, -1, np.int32)
-        self.zero = np.full(lanes, -1, np.int32)
-        self.votes = np.zeros(lanes, np.int32)
-        self.prev1 = np.zeros(lanes, np.int32)
-        self.prev2 = np.zeros(lanes, np.int32)
-        self.last = np.full(lanes, 3, np.int64)
-        self.cdf = np.full(lanes * 32, _START, _U)
-        self.rows = np.arange(lanes, dtype=np.int64) * 32
-
-    def predict(self, n: int) -> None:
-        base, p1 = self.base[:n], self.prev1[:n].view(np.uint32)
-        self.at2 = base + ((self.prev2[:n].view(np.uint32) * np.uint32(40503) + p1 * np.uint32(2654435761)) >> np.uint32(22))
-        self.at1 = base + (p1 & np.uint32(_SLOTS - 1))
-        self.p2 = self.two[self.at2]
-        self.p1 = self.one[self.at1]
-        self.p0 = self.zero[:n]
-        self.ctx = self.rows[:n] + (self.last[:n] * 8 + ((self.p2 == self.p1) * np.int8(4) + (self.p1 == self.p0) * np.int8(2) + (self.p2 >= 0)))
-        self.bounds = self.cdf[self.ctx]
-
-    def update(self, n: int, ids: np.ndarray, s: np.ndarray) -> None:
-        self.cdf[self.ctx] = self.bounds - ((self.bounds >> _U(4)) & _PART) + _AIM[s]
-        self.two[self.at2] = ids
-        self.one[self.at1] = ids
-        votes, zero = self.votes[:n], self.zero[:n]
-        votes += (ids == zero) * np.int8(2) - np.int8(1)
-        lost = np.flatnonzero(votes < 0)
-        zero[lost] = ids[lost]
-        votes[lost] = 1
-        self.last[:n] = s
-        self.prev2[:n] = self.prev1[:n]
+    def predict(self, n: int, step: int) -> None:
+        self.learns = step % max(1, step >> 3) == 0
+        if self.learns:
+            scale = (((1 << _BASE) - self.size) << 20) // max(1, self.seen)
+            np.cumsum(1 + (self.counts * scale >> 20), out=self.base[1:])
+            self.shares = np.minimum((self.hits << 16) // self.tries, np.array(_MOST)[:, None])
+        p1 = self.prev1[:n]
+        self.at2 = (self.prev2[:n] * 40503 + p1 * 2654435761 >> 9) & (1 << _TWO_BITS) - 1
+        one = self.one.take(p1, 0)
+        self.entries = [self.two.take(self.at2), *(one[:, j] for j in range(ONE))]
+        age = _CLASS.take(self.total.take(p1)) << 4
+        left = np.full(n, 1 << _WHOLE, np.int64)
+        self.ids, self.weights, self.marks = [], [], []
+        for j, e in enumerate(self.entries):
+            c = (e >> 8).astype(np.int64)
+            mark = _CLASS.take(e & 255) + (age if j else 0)
+            w = left * self.shares[j].take(mark) >> 16
+            w *= c >= 0
+            if j:
+                w *= c != self.ids[0]
+            left -= w
+            self.ids.append(c)
+            self.weights.append(w)
+            self.marks.append(mark)
+        self.left = left
+
+    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where an id's interval starts and how wide it is, of the whole."""
+        start = self.left * self.base.take(ids) >> _BASE
+        width = (self.left * self.base.take(ids + 1) >> _BASE) - start
+        for c, w in zip(self.ids, self.weights, strict=True):
+            start += w * (c < ids)
+            width += w * (c == ids)
+        return start, width
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals the values lie."""
+        starts = [self.left * self.base.take(c, mode="clip") >> _BASE for c in self.ids]
+        ends = [(self.left * self.base.take(c + 1, mode="clip") >> _BASE) + w for c, w in zip(self.ids, self.weights, strict=True)]
+        for i in range(ONE + 1):
+            for j in range(i):
+                less = self.ids[i] < self.ids[j]
+                up, down = self.weights[i] * less, self.weights[j] * ~less
+                starts[j] += up
+                ends[j] += up
+                starts[i] += down
+                ends[i] += down
+        rest, told = value.copy(), np.full(len(value), -1, np.int64)
+        for c, w, start, end in zip(self.ids, self.weights, starts, ends, strict=True):
+            beyond = value >= end
+            rest -= w * beyond
+            np.copyto(told, c, where=(w > 0) & (value >= start) & ~beyond)
+        open_ = np.flatnonzero(told < 0)
+        told[open_] = np.minimum(self.base.searchsorted(((rest[open_] + 1 << _BASE) - 1) // self.left[open_], "right") - 1, self.size - 1)
+        return told
+
+    def update(self, n: int, ids: np.ndarray) -> None:
+        np.add.at(self.counts, ids, 1)
+        self.seen += n
+        hit = [c == ids for c in self.ids]
+        if self.learns:
+            open_ = np.ones(n, bool)
+            for j in range(ONE + 1):
+                # Bins beyond 512 are for those that an earlier prediction told, or that this one says nothing of.
+                bins = np.bincount(self.marks[j] + (hit[j] << 8) + (~(open_ & (self.weights[j] > 0)) << 9), minlength=1024)
+                self.tries[j] += bins[:256] + bins[256:512]
+                self.hits[j] += bins[256:512]
+                open_ &= ~hit[j]
+        # Order 2: firmer by one if it holds, else less firm, and at nothing it gives way.
+        e, fresh = self.entries[0], (ids << 8).astype(np.int32)
+        firm = e & 255
+        held = np.where(hit[0], e + (firm < 255), np.where((firm == 0) | (e < 0), fresh, e - 1))
+        self.two[self.at2] = held
+        # Order 1: the prediction that holds gains one; if none does the last loses one, and gives way at nothing.
+        p1 = self.prev1[:n]
+        self.total[p1] = np.minimum(self.total.take(p1), 254) + 1
+        missed = np.ones(n, bool)
+        for j in range(1, ONE + 1):
+            k = np.flatnonzero(hit[j])
+            e = self.entries[j][k]
+            self.one[p1[k], j - 1] = e + ((e & 255) < 255)
+            missed &= ~hit[j]
+        k = np.flatnonzero(missed)
+        firm = np.stack([np.where(e[k] < 0, -1, e[k] & 255) for e in self.entries[1:]])
+        worst = firm.argmin(0)
+        e = np.choose(worst, [e[k] for e in self.entries[1:]])
+        self.one[p1[k], worst] = np.where(firm.min(0) <= 0, fresh[k], e - 1)
+        self.prev2[:n] = p1
         self.prev1[:n] = ids
 
 
-def _blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(steps, lanes) matrix of ids, and lengths; all lanes but the last are full."""
-    lanes = max(1, -(-len(ids) // block))
-    wide = np.zeros(lanes * block, np.int32)
-    wide[: len(ids)] = ids
-    lengths = np.full(lanes, block, np.int64)
-    lengths[-1] = len(ids) - (lanes - 1) * block
-    return np.ascontiguousarray(wide.reshape(lanes, block).T), lengths
+def _shape(n: int) -> tuple[int, int, int]:
+    """Lanes, steps, and lanes that are full at the last step, of a block of n ids."""
+    lanes = max(1, min(LANES, n // STEPS))
+    steps = -(-n // lanes)
+    return lanes, steps, n - lanes * (steps - 1)
 
 
-def block_size(n: int) -> int:
-    """Longer blocks learn more, shorter ones make more lanes."""
-    return int(min(4096, max(512, n // 512)))
+def _shrink(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Low and range of the lanes that give a word, with the range cut where a carry is in doubt, then moved up."""
+    apart = ((a ^ (a + b - _U(1))) >> _32) != 0
+    b = np.where(apart, _ONE32 - (a & _LOW), b)
+    return a << _32, b << _32
 
 
-def encode_ids(ids: np.ndarray, block: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The words (32 bits) and the literals of each block."""
-    steps, lengths = _blocks(ids, block)
-    lanes = len(lengths)
-    m = _Model(lanes)
+def encode_block(ids: np.ndarray, size: int) -> list[np.ndarray]:
+    """The words (32 bits) of each lane."""
+    lanes, steps, full = _shape(len(ids))
+    table = np.zeros((steps, lanes), np.int64)
+    at = np.arange(len(ids))
+    # The first lanes are one id longer than the others.
+    lane = np.where(at < full * steps, at // steps, full + (at - full * steps) // max(1, steps - 1))
+    begin = np.where(lane <= full, lane * steps, full * steps + (lane - full) * (steps - 1))
+    table[at - begin, lane] = ids
+    m = _Model(lanes, size)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    out = np.zeros((lanes, block + 4), np.uint32)
+    out = np.zeros((lanes, steps + 4), np.uint32)
     pos = np.zeros(lanes, np.int64)
-    literal = np.zeros((block, lanes), bool)
-    for t in range(block):
-        n = lanes if t < lengths[-1] else lanes - 1
-        if not n:
-            break
-        sym = steps[t, :n]
-        m.predict(n)
-        s = np.where(sym == m.p2, 0, np.where(sym == m.p1, 1, np.where(sym == m.p0, 2, 3)))
-        np.equal(s, 3, out=literal[t, :n])
-        at = m.bounds >> (s.view(_U) << _U(4))
+    for t in range(steps):
+        n = lanes if t < steps - 1 else full
+        sym = table[t, :n]
+        m.predict(n, t)
+        start, width = m.interval(sym)
         a, b = low[:n], rng[:n]
-        b >>= _16
-        a += b * (at & _LOW16)
-        b *= ((at >> _16) - at) & _LOW16  # the last symbol ends at 65536, which is 0 here
-        m.update(n, sym, s)
+        b >>= _W
+        a += b * start.view(_U)
+        b *= width.view(_U)
+        m.update(n, sym)
         k = np.flatnonzero(b < _ONE32)
         if len(k):
-            a, b = low[k], rng[k]
-            apart = ((a ^ (a + b - _U(1))) >> _32) != 0
-            if apart.any():
-                b = np.where(apart, _ONE32 - (a & _LOW), b)
-            out[k, pos[k]] = (a >> _32).astype(np.uint32)
+            out[k, pos[k]] = (low[k] >> _32).astype(np.uint32)
             pos[k] += 1
-            low[k] = a << _32
-            rng[k] = b << _32
+            low[k], rng[k] = _shrink(low[k], rng[k])
     lane = np.arange(lanes)
-    out[lane, pos] = (low >> _32).astype(np.uint32)
-    out[lane, pos + 1] = (low & _LOW).astype(np.uint32)
-    wide, chosen = np.ascontiguousarray(steps.T), np.ascontiguousarray(literal.T)
-    return [out[i, : pos[i] + 2] for i in range(lanes)], [wide[i, chosen[i]] for i in range(lanes)]
-
-
-def decode_ids(words: list[np.ndarray], literals: list[np.ndarray], n_ids: int, block: int) -> np.ndarray:
-    lanes = len(words)
-    lengths = np.full(lanes, block, np.int64)
-    lengths[-1] = n_ids - (lanes - 1) * block
-    width = max(len(w) for w in words) + 2
-    table = np.zeros((lanes, width), _U)
-    for i, w in enumerate(words):
-        table[i, : len(w)] = w
-    ahead = np.append(np.concatenate(literals).astype(np.int32), np.zeros(1, np.int32))
-    next_literal = np.cumsum([0, *(len(x) for x in literals)])[:-1]
-    code = (table[:, 0] << _32) | table[:, 1]
-    pos = np.full(lanes, 2, np.int64)
+    out[lane, pos] = ((low + (rng - _U(1))) >> _32).astype(np.uint32)
+    return [out[i, : pos[i] + 1] for i in range(lanes)]
+
+
+def decode_block(words: np.ndarray, counts: np.ndarray, n_ids: int, size: int) -> np.ndarray:
+    """The ids, from the words of all lanes in turn and each lane's number of them."""
+    lanes, steps, full = _shape(n_ids)
+    words = np.append(words, np.zeros(2, np.uint32)).astype(_U)
+    end = np.cumsum(counts)
+    pos = end - counts
+
+    def word(k):
+        """The next word of lanes k; zeros follow a lane's last one."""
+        found = np.where(pos[k] < end[k], words[np.minimum(pos[k], len(words) - 1)], _U(0))
+        pos[k] += 1
+        return found
+
+    every = np.arange(lanes)
+    code = (word(every) << _32) | word(every)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    m = _Model(lanes)
-    out = np.zeros((block, lanes), np.int32)
-    for t in range(block):
-        n = lanes if t < lengths[-1] else lanes - 1
-        if not n:
-            break
-        m.predict(n)
+    m = _Model(lanes, size)
+    out = np.zeros((steps, lanes), np.int64)
+    for t in range(steps):
+        n = lanes if t < steps - 1 else full
+        m.predict(n, t)
         a, b = low[:n], rng[:n]
-        b >>= _16
-        off = code[:n] - a
-        c = m.bounds
-        s = (off >= b * ((c >> _16) & _LOW16)).astype(np.int64) + (off >= b * ((c >> _32) & _LOW16)) + (off >= b * (c >> _U(48)))
-        at = c >> (s.view(_U) << _U(4))
-        a += b * (at & _LOW16)
-        b *= ((at >> _16) - at) & _LOW16
-        is_literal = s == 3
-        # Where damage makes a lane ask for too many literals, the checksum tells.
-        told = ahead[np.minimum(next_literal[:n], len(ahead) - 1)]
-        next_literal[:n] += is_literal
-        sym = np.where(is_literal, told, np.where(s == 0, m.p2, np.where(s == 1, m.p1, m.p0)))
+        b >>= _W
+        sym = m.find(np.minimum((code[:n] - a) // b, _U((1 << _WHOLE) - 1)).view(np.int64))
         out[t, :n] = sym
-        m.update(n, sym, s)
+        start, width = m.interval(sym)
+        a += b * start.view(_U)
+        b *= width.view(_U)
+        m.update(n, sym)
         k = np.flatnonzero(b < _ONE32)
         if len(k):
-            a, b = low[k], rng[k]
-            apart = ((a ^ (a + b - _U(1))) >> _32) != 0
-            if apart.any():
-                b = np.where(apart, _ONE32 - (a & _LOW), b)
-            code[k] = (code[k] << _32) | table[k, np.minimum(pos[k], width - 1)]
-            pos[k] += 1
-            low[k] = a << _32
-            rng[k] = b << _32
-    return np.ascontiguousarray(out.T).reshape(-1)[:n_ids].astype(np.int64)
+            code[k] = (code[k] << _32) | word(k)
+            low[k], rng[k] = _shrink(low[k], rng[k])
+    return np.concatenate([out[:, :full].T.ravel(), out[: steps - 1, full:].T.ravel()])
+
+
+def _blocks(n: int) -> np.ndarray:
+    """Bounds of blocks of like size."""
+    return np.linspace(0, n, -(-n // BLOCK) + 1).astype(np.int64) if n else np.zeros(1, np.int64)
 
 
 def pack(ids: np.ndarray, id_bits: int = 16) -> bytes:
-    """A segment: header; for each block its counts of words and literals and the CRC-32 of its ids; words; literals."""
-    if len(ids) and int(ids.max()) >> min(id_bits, 31):
-        raise ValueError("an id needs more bits than id_bits, or than 31")
-    block = block_size(len(ids))
-    words, literals = encode_ids(ids, block) if len(ids) else ([], [])
-    raw = np.ascontiguousarray(ids, "<u4")
-    sums = [zlib.crc32(raw[k * block : (k + 1) * block]) for k in range(len(words))]
-    directory = np.array([[len(w) for w in words], [len(x) for x in literals], sums], "<u4").T.tobytes()
-    kind = "<u2" if id_bits <= 16 else "<u4"
-    return b"".join([MAGIC, struct.pack("<QIIB", len(ids), block, len(words), id_bits), directory, *(w.astype("<u4").tobytes() for w in words), *(x.astype(kind).tobytes() for x in literals)])
+    """A segment: header; for each block its ids, lanes, words and the CRC-32 of its ids; then its lanes' counts, and words."""
+    top = int(ids.max()) + 1 if len(ids) else 0
+    if top > 1 << min(id_bits, 20):
+        raise ValueError("an id needs more bits than id_bits, or than 20")
+    bounds, body = _blocks(len(ids)), []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        words = encode_block(ids[a:b], top)
+        counts = np.array([len(w) for w in words], "<u2")
+        data = np.concatenate(words).astype("<u4").tobytes()
+        body.append(struct.pack("<IIII", b - a, len(words), len(data) // 4, zlib.crc32(np.ascontiguousarray(ids[a:b], "<u4"))) + counts.tobytes() + data)
+    return b"".join([MAGIC, struct.pack("<QII", len(ids), top, len(body)), *body])
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The ids; raises ValueError where a block fails its checksum."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment")
-    n, block, blocks, id_bits = struct.unpack_from("<QIIB", data, 4)
-    if not n:
-        return np.zeros(0, np.int64)
-    at = 4 + struct.calcsize("<QIIB")
-    directory = np.frombuffer(data, "<u4", 3 * blocks, at).reshape(blocks, 3).astype(np.int64)
-    at += 12 * blocks
-    n_words = int(directory[:, 0].sum())
-    words = np.split(np.frombuffer(data, "<u4", n_words, at), np.cumsum(directory[:-1, 0]))
-    literals = np.split(np.frombuffer(data, "<u2" if id_bits <= 16 else "<u4", offset=at + 4 * n_words), np.cumsum(directory[:-1, 1]))
-    ids = decode_ids(words, literals, n, block)
-    raw = np.ascontiguousarray(ids, "<u4")
+    n, top, blocks = struct.unpack_from("<QII", data, 4)
+    at, found = 20, [np.zeros(0, np.int64)]
     for k in range(blocks):
-        if zlib.crc32(raw[k * block : (k + 1) * block]) != directory[k, 2]:
+        size, lanes, words, check = struct.unpack_from("<IIII", data, at)
+        at += 16
+        try:
+            counts = np.frombuffer(data, "<u2", lanes, at).astype(np.int64)
+            ids = decode_block(np.frombuffer(data, "<u4", words, at + 2 * lanes), counts, size, top)
+        except (ValueError, IndexError) as e:
+            raise ValueError(f"block {k} is damaged") from e
+        if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != check:
             raise ValueError(f"block {k} is damaged")
-    return ids
+        found.append(ids)
+        at += 2 * lanes + 4 * words
+    if sum(map(len, found)) != n:
+        raise ValueError("blocks are missing")
+    return np.concatenate(found)

@@ -33,7 +33,8 @@ class WordEncoder:
     """The library's encoding of whole texts, put together from its encodings of pieces of their words.
 
     The vocabularies' splitters never match across blanks, so a text's ids are those of its blank-separated words in
-    turn.  Distinct words of plain letters, with or without signs behind them, are lower-cased and split into letters
+    turn.  The strings of special tokens have no blanks and letters between signs, so a word with one goes through the
+    library whole and becomes that token.  Distinct words of plain letters, with or without signs behind them, are lower-cased and split into letters
     and signs; letters go to the library many at a time, without its normaliser, where a piece's last id is one that ends
     a word.  All other words, and signs, go through the library whole.  About ``cache`` pieces are remembered.  Words are
     split and counted as Arrow columns, and their ids gathered with numpy, so Python sees distinct pieces only.
@@ -43,7 +44,6 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.library, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.library.encode_special_tokens = self.letters.encode_special_tokens = True  # their strings in a text are ordinary text
         self.letters.normalizer = None
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.library.get_vocab()

@@ -183,12 +183,34 @@ def test_range_coder():
     assert len(rangecoder.pack(np.tile(np.arange(40), 500))) < 8000
 
 
+def test_range_coder_mixes_its_predictions(docs):
+    """On real ids, and on two blocks of them, less than the order-0 entropy of the whole; on ids without any structure, hardly more."""
+    encoder = tokenfile.WordEncoder(tokenizers.path("word_bpe_49k.json"))
+    ids = np.concatenate(encoder.encode([t or "" for _, t in texts_of(docs)])).astype(np.int64)
+    whole = np.tile(ids, 1 + 200_000 // len(ids))[:200_000]
+    share = np.bincount(whole) / len(whole)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    packed = rangecoder.pack(whole)
+    assert 8 * len(packed) / len(whole) < entropy and (rangecoder.unpack(packed) == whole).all()
+    noise = np.random.default_rng(1).integers(0, 256, 200_000)
+    assert 8 * len(rangecoder.pack(noise)) / len(noise) < 8.4
+    two = np.tile(whole, 6)
+    assert len(two) > rangecoder.BLOCK
+    packed = rangecoder.pack(two)
+    assert (rangecoder.unpack(packed) == two).all()
+    with pytest.raises(ValueError):
+        rangecoder.unpack(packed[:-5])
+
+
 def test_token_file(spark, docs, edge, tmp_path):
+    """Also strings of special tokens, which the library takes for those tokens."""
     from tokenizers import Tokenizer
 
+    marked = edge.limit(1).withColumn("doc_id", F.lit(99).cast("long")).withColumn("text", F.lit("a <|endoftext|> b<|startoftext|>c <|endoftext"))
+    edge = edge.union(marked)
+
     path = tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     for k, table in enumerate((docs, edge)):
         tokenfile.write(table, str(tmp_path / f"t{k}"), path)
         got = tokenfile.read(spark, str(tmp_path / f"t{k}")).orderBy("start").collect()
@@ -198,6 +220,8 @@ def test_token_file(spark, docs, edge, tmp_path):
             ids = library.encode(t or "", add_special_tokens=False).ids + [2]
             assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             at += len(ids)
+    tokenfile.write(edge.where("false"), str(tmp_path / "none"), path)
+    assert tokenfile.read(spark, str(tmp_path / "none")).count() == 0
 
 
 @pytest.mark.parametrize("k", [2, 5])
@@ -321,7 +345,6 @@ def test_word_encoder_equals_the_library():
 
     path = tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     texts = ["", " ", "a\0b", "é́x É Ünï. ÿŸ ÀÖ×÷ ß ẞ İ", "don't we're 'S it's. x' O'Ve,", "<|endoftext|> a<|endoftext|>!", "1a2 b3. (x) ...a -- a-b a.b", "\u00a0x\u2003y \u200bz", "ﬁ ① Σας ΣΑΣ", "a\u0301 b", "日本 語。", "\U0001f600!! x", "é" * 3000 + "." * 5000]
     encoder = tokenfile.WordEncoder(path, cache=8)  # overflows again and again
     for t in texts + texts:
