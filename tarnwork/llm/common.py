@@ -53,6 +53,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def among(df: DataFrame, keys: DataFrame, column: str, most: int = 2_000_000) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among ``keys``, distinct rows of that column alone.
+
+    Keys are counted: up to ``most`` numbers (16 MB) are broadcast, so ``df`` stays where it is; others are joined by a shuffle.
+    """
+    plain = keys.schema[column].dataType.typeName() in ("byte", "short", "integer", "long")
+    small = plain and keys.count() <= most
+    return df.join(F.broadcast(keys) if small else keys, column, "left_semi")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

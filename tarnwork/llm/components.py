@@ -41,7 +41,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """(id, component_id) of every node that an edge touches; component_id is the smallest id reachable.
 
     ``edges`` has two columns of one orderable type, a row per link in either direction; loops and repeats do no harm,
-    nulls link nothing.  Rounds are logarithmic in the longest chain; each is staged, so lineage stays short.
+    nulls link nothing.  Rounds are logarithmic in the longest chain; each is staged, so lineage stays short.  Raises
+    RuntimeError where ``rounds`` don't suffice.
     """
     a, b = edges.columns[:2]
     now = (
@@ -52,11 +53,13 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     )
     now = stage(now, "edges")
     before = _state(now)
-    while before[0] and rounds:
+    while before[0]:
         now = stage(_small_star(_large_star(now)), "star")
         after = _state(now)
         if after == before:
             break
         before, rounds = after, rounds - 1
+        if not rounds:
+            raise RuntimeError("components are not finished in the rounds allowed")
     found = now.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
     return found.union(now.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -6,24 +6,29 @@ computed; table (i, j) is keyed by band i of the first collection and band j of
 share a band in both collections: at similarity s with probability (1 - (1 - s^rows)^side)^2, which is 0.9993 at 0.8
 and over 0.9999 at 0.85 for 12 bands of 3.
 
-Documents with one and the same set are one class, represented by its smallest id.  Within a table's bucket classes are
-verified on their full sets against a leader; those that a link has not joined meet another leader; of what
-then is still apart within a bucket, the pairs that an exact prefix filter leaves are verified (see :func:`_apart`).  So a
-group of near copies costs its size, not its square, and no link between components is lost: pairs left out are already
-connected or too different.
+Documents with one and the same set are one class, represented by its smallest id.  Two classes share a table's key only
+if they share both its bands, so bands that one class alone has are dropped before table keys are formed.  Within a
+table's bucket classes are verified on their full sets against a leader (against further ones where ``leaders`` says so); of what
+is then still apart within a bucket, the pairs that an exact prefix filter leaves are verified (see
+:func:`_apart`).  So a group of near copies costs its size, not its square, and no link between components is lost: pairs
+left out are already connected or too different.  Sets are verified in Spark expressions; a leader's set is sent once for
+each 64 members.
 
 Words: runs of characters other than ASCII blanks, A-Z in lower case.  A document with fewer words than a shingle has its
 whole sequence as one; one without words (null or empty text) has an empty set and links with nothing.  Shingles are
-64-bit hashes.  Rows that repeat an id are each reported; their texts count as one document's only if they agree.
+64-bit hashes.  Rows that repeat an id are each reported, with the component of their own text's class; a class of
+several texts of one id links as that id.  Long texts are hashed whole.  Columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stage
+from .common import among, ship, stage
 from .components import components
 
 SIDE, ROWS = 12, 3
@@ -50,22 +55,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2^64; kept in sizes that double."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _powers:
-        for k in [k for k in _powers if k < size]:
-            del _powers[k]
-        out = []
-        for b in (_BASE, _BACK):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p))
-        _powers[size] = tuple(out)
-    return _powers[size]
+@lru_cache(4)
+def _power(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """2^bits powers of the base and of its inverse, modulo 2^64."""
+    out = []
+    for b in (_BASE, _BACK):
+        p = np.full(1 << bits, b, np.uint64)
+        p[0] = 1
+        out.append(np.multiply.accumulate(p))
+    return tuple(out)
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -76,7 +76,7 @@ def shingles(text: bytes, k: int) -> np.ndarray:
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.zeros(0, np.uint64)
-    up, down = _power(len(raw) + 1)
+    up, down = _power(max(16, len(raw).bit_length()))
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTES[raw] * up[: len(raw)], out=total[1:])
     words = mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
@@ -104,17 +104,16 @@ def bands(found: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _bytes(batch, *columns: int):
-    """The rows of text columns as bytes; copies of few rows' texts exist at once, not of a whole Arrow batch's."""
+def _texts(batch, column: int):
+    """The texts as bytes; copies of few rows' texts exist at once, not of a whole Arrow batch's."""
     import pyarrow as pa
 
     for at in range(0, batch.num_rows, 64):
-        part = batch.slice(at, 64)
-        yield from zip(*(part.column(c).cast(pa.binary()).to_pylist() for c in columns), strict=True)
+        yield from batch.column(column).slice(at, 64).cast(pa.binary()).to_pylist()
 
 
 def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, f1, f2, bands): f1 and f2 stand for the whole set; bands is null for an empty one."""
+    """(id, th, n_shingles, f1, f2, bands): th is a hash of the text; f1 and f2 stand for the whole set; bands is null for an empty one."""
     import pyarrow as pa
 
     ship(docs.sparkSession)
@@ -123,7 +122,7 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         for batch in batches:
             n, f1, f2, b = [], [], [], []
-            for (text,) in _bytes(batch, 1):
+            for text in _texts(batch, 2):
                 found = shingles(text or b"", k)
                 n.append(len(found))
                 if len(found):
@@ -133,53 +132,59 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
                 else:
                     f1.append(None), f2.append(None), b.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(b, pa.list_(pa.int64()))], names=["id", "n_shingles", "f1", "f2", "bands"]
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(b, pa.list_(pa.int64()))],
+                names=["id", "th", "n_shingles", "f1", "f2", "bands"],
             )
+        _power.cache_clear()
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, f1 long, f2 long, bands array<long>")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets, made anew from the whole texts, reach the similarity."""
-    import pyarrow as pa
-
-    schema = pairs.schema["a"].dataType.simpleString()
-    joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, th long, n_shingles long, f1 long, f2 long, bands array<long>")
 
-    def run(batches):
-        last, held = None, None
-        for batch in batches:
-            keep = []
-            for x, y in _bytes(batch, 2, 3):
-                if x != last:
-                    last, held = x, shingles(x, k)
-                other = shingles(y, k)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(held) + len(other) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.mapInArrow(run, f"a {schema}, b {schema}")
 
-
-def _tokens(texts: DataFrame, k: int) -> DataFrame:
-    """(id, token): a row for each shingle of each text."""
+def _sets(texts: DataFrame, k: int) -> DataFrame:
+    """(id, shingles) of (id, text), in batches of bounded size."""
     import pyarrow as pa
 
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [shingles(t, k) for t in part.column(1).cast(pa.binary()).to_pylist()]
-                owner = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                tokens = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(tokens)], names=["id", "token"])
+        def told(ids, found):
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
 
-    return texts.select("id", "text").mapInArrow(run, f"id {kind}, token long")
+        for batch in batches:
+            ids, found, held = [], [], 0
+            for i, text in enumerate(_texts(batch, 1)):
+                x = shingles(text or b"", k)
+                if not len(x):
+                    continue
+                ids.append(i), found.append(x.view(np.int64))
+                held += len(x)
+                if held > 1_000_000:
+                    yield told(ids, found)
+                    ids, found, held = [], [], 0
+            if ids:
+                yield told(ids, found)
+        _power.cache_clear()
+
+    return texts.select("id", "text").mapInArrow(run, f"id {kind}, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, size: int = 64) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the similarity.
+
+    Pairs are dealt by a and, where it has more than ``size`` of them, by a share of its b; each deal gets the set of a once.
+    """
+    parts = stage(pairs.groupBy("a").agg(F.ceil(F.count("*") / size).alias("parts")), "parts")
+    dealt = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    dealt = dealt.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    leaders = parts.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    leaders = leaders.select("a", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = F.size(F.array_intersect("x", "y"))
+    met = dealt.join(leaders, ["a", "part"]).select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("all"))
+    return met.where(100 * F.col("both") >= percent * (F.col("all") - F.col("both"))).select("a", "b")
 
 
-def _apart(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _apart(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different parts that may reach the similarity, by an exact prefix filter.
 
     Two sets of x and y shingles that reach it share at least w = percent (x + y) / (100 + percent) of them.  With all
@@ -188,7 +193,8 @@ def _apart(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
     words of their own, don't all meet.
     """
     here = rest.select("rep", "n", "part").distinct()
-    tokens = stage(_tokens(texts.join(here.select(F.col("rep").alias("id")), "id", "left_semi"), k), "tokens")
+    tokens = sets.join(here.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("shingles").alias("token"))
+    tokens = stage(tokens, "tokens")
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "token"))
     # n - ceil(n percent / 100) + 1 is the most that any partner leaves.
@@ -202,64 +208,84 @@ def _apart(rest: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
     return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leaders: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leaders: int = 1) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row.
 
     component_id is the smallest id reachable by links of similarity ``percent`` or more, the row's own included; kept is
     true where they are the same.  Null ids link with nothing and are kept.
     """
+    found = _components(docs, k, percent, id_col, text_col, leaders)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _components(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, leaders: int) -> DataFrame:
+    """(id, th, n_shingles, component_id, kept) of every row."""
     sketched = stage(sketch(docs, k, id_col, text_col), "sketches")
     named = sketched.where("id is not null and f1 is not null")
     classes = stage(named.groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.min_by("bands", "id").alias("bands"), F.min("n_shingles").alias("n")), "classes")
-    bucket = Window.partitionBy("key")
-    keys = classes.select("rep", "n", F.explode(_tables()).alias("key"))
-    # Members of the buckets that hold more than one class: one shuffle of the keys.
-    members = keys.withColumn("low", F.min("rep").over(bucket)).withColumn("high", F.max("rep").over(bucket)).withColumn("size", F.count("*").over(bucket))
-    members = stage(members.where("low < high").select("rep", "n", "key", "size"), "members")
-    # The text that copies were made from meets more of them than they meet each other, so it is tried as leader first.
-    degree = members.groupBy(F.col("rep").alias("id")).agg(F.sum("size").alias("degree"))
-    members = stage(members.join(degree, members["rep"] == degree["id"]).select("rep", "n", "key", "degree"), "ranked")
-    inside = degree.select("id")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(inside, "id", "left_semi")
-    texts = stage(texts.groupBy("id").agg(F.min("text").alias("text")), "texts")
+    members, lead = _buckets(classes)
+    inside = stage(members.select(F.col("rep").alias("id")).distinct(), "inside")
+    texts = among(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), inside, "id")
+    sets = stage(_sets(texts, k).distinct(), "sets")
     similar = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    links = None
     where = None
+    now = stage(members.join(lead, "key").select("key", "rep", "n", "lead", F.col("rep").alias("part")), "members")
     for step in range(leaders + 1):
-        if where is None:
-            now = members.withColumn("part", F.col("rep"))
-        else:
-            now = members.join(where, members["rep"] == where["id"], "left").withColumn("part", F.coalesce("component_id", "rep")).drop("id", "component_id")
         if step < leaders:
-            order = F.struct(F.xxhash64(F.lit(step), F.col("rep")), F.col("rep")) if step else F.struct(-F.col("degree"), F.col("rep"))
-            lead = now.groupBy("key").agg(F.min(F.struct(order.alias("order"), "rep", "n", "part")).alias("lead"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "lead")
-            pairs = now.join(lead, "key").where((F.col("part") != F.col("lead.part")) & similar(F.col("n"), F.col("lead.n")))
-            pairs = pairs.select(F.least("rep", "lead.rep").alias("a"), F.greatest("rep", "lead.rep").alias("b"))
+            pairs = now.where((F.col("part") != F.col("lead.part")) & similar(F.col("n"), F.col("lead.n"))).select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"))
         else:
-            several = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key")
-            pairs = _apart(stage(now.join(several, "key", "left_semi").select("rep", "n", "key", "part"), "rest"), texts, k, percent)
-        found = stage(_verified(pairs.distinct(), texts, k, percent), "links")
-        links = found if links is None else links.union(found)
-        where = components(links)
-    return _report(sketched, classes, where, id_col)
-
+            pairs = _apart(now, sets, percent)
+        links = _verified(stage(pairs.distinct(), "pairs"), sets, percent)
+        where = components(links if where is None else links.union(where))
+        if step < leaders:
+            # What is left: buckets whose members a link has not joined yet, with another leader.
+            now = now.select("key", "rep", "n").join(where.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component_id", "rep").alias("part"))
+            order = F.struct(F.xxhash64(F.lit(step), F.col("rep")).alias("order"), "rep", "n", "part")
+            lead = now.groupBy("key").agg(F.min(order).alias("lead"), F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("key", "lead")
+            now = stage(now.join(lead, "key"), "rest")
+    return _report(sketched, classes, where)
 
-def _tables():
-    """The keys of all tables: a hash of (i, j, band i of one side, band j of the other)."""
-    pair = [F.xxhash64(F.lit(i * SIDE + j), F.get("bands", F.lit(i)), F.get("bands", F.lit(SIDE + j))) for i in range(SIDE) for j in range(SIDE)]
-    return F.array(*pair)
 
+def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, rep, n, degree) of every class and table, as far as its bands are shared, and (key, lead) of buckets with several classes.
 
-def _report(sketched: DataFrame, classes: DataFrame, where: DataFrame, id_col: str) -> DataFrame:
+    The class that meets most others leads: the text that copies were made from meets more of them than they meet each
+    other.  Counts, minima and maxima are summed before each shuffle, so no key gathers.
+    """
+    bands = classes.select("rep", "n", F.posexplode("bands").alias("slot", "band")).withColumn("band", F.xxhash64("slot", "band"))
+    counts = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    shared = bands.join(counts, "band").groupBy("rep").agg(F.max("n").alias("n"), F.sum("size").alias("degree"), F.collect_set(F.struct("slot", "band")).alias("bands"))
+    side = lambda test: F.transform(F.filter("bands", lambda b: test(b["slot"])), lambda b: b["band"])
+    shared = shared.select("rep", "n", "degree", side(lambda i: i < SIDE).alias("left"), side(lambda i: i >= SIDE).alias("right"))
+    shared = stage(shared.where("size(left) > 0 and size(right) > 0"), "shared")
+    members = shared.select("rep", "n", "degree", "right", F.explode("left").alias("one")).select("rep", "n", "degree", "one", F.explode("right").alias("two"))
+    members = members.select(F.xxhash64("one", "two").alias("key"), "rep", "n", "degree")
+    order = F.struct((-F.col("degree")).alias("order"), "rep", "n", F.col("rep").alias("part"))
+    lead = members.groupBy("key").agg(F.min(order).alias("lead"), F.min("rep").alias("p"), F.max("rep").alias("q")).where("p < q").select("key", "lead")
+    return members, lead
+
+
+def _report(sketched: DataFrame, classes: DataFrame, where: DataFrame) -> DataFrame:
     of = classes.join(where, classes["rep"] == where["id"], "left").select("f1", "f2", F.coalesce("component_id", "rep").alias("_c"))
-    out = sketched.select("id", "n_shingles", "f1", "f2").join(of, ["f1", "f2"], "left")
+    out = sketched.select("id", "th", "n_shingles", "f1", "f2").join(of, ["f1", "f2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("_c", "id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return out.select("id", "th", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def dedup(docs: DataFrame, **options) -> DataFrame:
-    """The documents, all columns, of which one of each group stays: the one with the smallest id."""
-    id_col = options.get("id_col", "doc_id")
-    kept = near_duplicates(docs, **options).where("kept").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_id")), "left_semi")
+def dedup(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", leaders: int = 1) -> DataFrame:
+    """The documents, all columns, of which one of each group stays: the one with the smallest id.
+
+    Of rows that agree in id and text one stays; rows of one id whose texts have different sets are different documents.
+    Rows without an id stay.
+    """
+    found = _components(docs, k, percent, id_col, text_col, leaders).where("id is not null")
+    kept = stage(found.groupBy("id", "th").agg(F.min("kept").alias("kept"), F.count("*").alias("rows")).where("not kept or rows > 1"), "gone")
+    rows = docs.withColumn("_th", F.xxhash64(text_col))
+    known = kept.select(F.col("id").alias("_id"), F.col("th").alias("_known"), "kept")
+    match = lambda t: (rows[id_col] == t["_id"]) & (rows["_th"] == t["_known"])
+    out = rows.join(known, match(known), "left_anti")
+    several = known.where("kept")
+    if not several.isEmpty():
+        out = out.union(rows.join(several, match(several), "left_semi").dropDuplicates([id_col, "_th"]))
+    return out.drop("_th")
