@@ -58,7 +58,21 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tupl
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = CYCLE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken, copies) of every row; taken = copies * size is what the mix takes."""
-    sized = stage(docs.select(F.col(id_col), F.col(source_col).alias("source"), size_of(text_of(text_col)).alias("size"), key_of(id_col).alias("_h")), "sized")
+    sized, goal = _plan(docs, share, most, cycle, id_col, text_col, source_col)
+    out = sized.join(goal, F.col("source").eqNullSafe(F.col("goal.source"))).withColumn("copies", _copies(F.col("_h"), most))
+    return out.select(F.col("id").alias(id_col), "size", "goal.source_size", "goal.target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+def _copies(h: Column, most: float) -> Column:
+    """How often a row of this hash is taken, beside its source's ``goal``."""
+    below = (h < F.col("goal.edge")) | ((h == F.col("goal.edge")) & F.col("goal.nearer"))
+    more = F.when(F.col("goal.edge").isNull(), F.col("goal.rest") > 0).otherwise(below)
+    return F.least(F.col("goal.whole") + more.cast("long"), F.lit(int(most)).cast("long"))
+
+
+def _plan(docs: DataFrame, share: float, most: float, cycle: tuple[int, ...], id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, source, size, _h) of every row, and a row for each source: struct ``goal``."""
+    sized = stage(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(text_of(text_col)).alias("size"), key_of(id_col).alias("_h")), "sized")
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most, cycle)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     goal = goal.withColumn("whole", whole.cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -78,16 +92,18 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int
         # The bucket where the budget runs out; a source that its budget covers whole has none.
         over = hist.where("upto > rest").groupBy("source", "rest").agg(F.min(F.struct("bucket", "upto", "n")).alias("b"))
         edge = stage(over.select("source", "rest", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.n")).alias("before"), F.col("b.upto").alias("upto")), "edge")
-    last = edge.select(F.col("source").alias("_s"), F.col("prefix").alias("_edge"), ((F.col("upto") - F.col("rest")) < (F.col("rest") - F.col("before"))).alias("_nearer"))
-    goal = goal.withColumnRenamed("source", "_s").join(last.withColumnRenamed("_s", "_t"), F.col("_s").eqNullSafe(F.col("_t")), "left").drop("_t")
-    more = F.when(F.col("_edge").isNull(), F.col("rest") > 0).otherwise((F.col("_h") < F.col("_edge")) | ((F.col("_h") == F.col("_edge")) & F.col("_nearer")))
-    copies = (F.col("whole") + more.cast("long")).cast("long")
-    out = sized.join(goal, F.col("source").eqNullSafe(F.col("_s"))).withColumn("copies", F.least(copies, F.lit(int(most)).cast("long")))
-    return out.select(id_col, "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
-
-
-def apply(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, all columns, a row for each time one is taken."""
-    id_col = options.get("id_col", "doc_id")
-    taken = mix(docs, **options).select(F.col(id_col).alias("_id"), "copies").where("copies > 0").distinct()
-    return docs.join(taken, docs[id_col].eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("_id", "copies", "_copy")
+    last = edge.select(F.col("source").alias("_s"), F.col("prefix").alias("edge"), ((F.col("upto") - F.col("rest")) < (F.col("rest") - F.col("before"))).alias("nearer"))
+    goal = goal.join(last, F.col("source").eqNullSafe(F.col("_s")), "left")
+    return sized, stage(goal.select(F.struct("source", "source_size", "target", "whole", "rest", "edge", "nearer").alias("goal")), "goals")
+
+
+def apply(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = CYCLE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents of the mix, all columns, a row for each time one is taken.
+
+    Each row's copies follow from its own hash and source beside the sources' table, so texts aren't shuffled and rows that
+    share an id don't multiply.
+    """
+    _, goal = _plan(docs, share, most, cycle, id_col, text_col, source_col)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(source_col).alias("_source"), key_of(id_col).alias("_h"))
+    rows = rows.join(goal, F.col("_source").eqNullSafe(F.col("goal.source"))).withColumn("_n", _copies(F.col("_h"), most)).where("_n > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select("_row.*")
