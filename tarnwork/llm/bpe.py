@@ -6,13 +6,16 @@ neighbouring pairs stand in a second matrix, looked up in an open-addressing has
 one column from each row, so the matrices stay rectangular; rows with no pair left to merge are set aside.
 
 Memory is bounded by an Arrow batch and by the cache of matches, which is emptied when full.  Null texts are empty.
-A run of blanks or letters of any length is one row: its rounds cost its length each.
+Runs without a break of more than ``LONG`` bytes would cost their length squared in a matrix; they are merged one by one
+with a heap of pairs, to the same ids.  Rows that repeat an id, and repeated rows, are each encoded; columns other than
+id and text are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from functools import lru_cache
 from itertools import chain
 from operator import itemgetter
@@ -21,10 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, ship
+from .common import ship, sliced
 
 NONE = np.int32(2**31 - 1)
 _EMPTY = np.int64(-1)
+#: Bytes of the longest row that is merged in a matrix.
+LONG = 512
 
 
 class PairTable:
@@ -108,6 +113,38 @@ class Encoder:
         done.append((rows, ids))
         return done
 
+    def merge_long(self, raw: bytes) -> list[int]:
+        """The ids of one long row: pairs leave a heap by rank, then by place, unless a merge beside them has changed them."""
+        ids = self.bytes[np.frombuffer(raw, np.uint8)]
+        first = self.pairs.find(ids[:-1], ids[1:]).tolist()
+        ids = ids.tolist()
+        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+        heap = [(rank, i, ids[i], ids[i + 1]) for i, rank in enumerate(first) if rank != NONE]
+        heapq.heapify(heap)
+        known: dict[tuple[int, int], int] = {}
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(ids):
+                pair = ids[i], ids[j]
+                if pair not in known:
+                    known[pair] = int(self.pairs.find(np.array(pair[:1]), np.array(pair[1:]))[0])
+                if known[pair] != NONE:
+                    heapq.heappush(heap, (known[pair], i, *pair))
+
+        while heap:
+            rank, i, left, right = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != left or j >= len(ids) or ids[j] != right:
+                continue
+            ids[i], ids[j], after[i] = rank, -1, after[j]
+            if after[j] < len(ids):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [x for x in ids if x >= 0]
+
     def learn(self, matches: list[str], cells: int = 2_000_000) -> None:
         """Encode matches that the cache lacks, at most ``cells`` matrix cells at once."""
         by: dict[int, list[tuple[str, bytes]]] = {}
@@ -117,6 +154,10 @@ class Encoder:
                 self.cache[m] = ((k,), self.decimal[k])
             else:
                 by.setdefault(len(raw), []).append((m, raw))
+        for length in [n for n in by if n > LONG]:
+            for m, raw in by.pop(length):
+                row = self.merge_long(raw)
+                self.cache[m] = (tuple(row), b",".join(map(self.decimal.__getitem__, row)))
         for length, group in by.items():
             step = max(1, cells // length)
             for k in range(0, len(group), step):
@@ -161,24 +202,21 @@ def tokenize(docs: DataFrame, path: str, pattern: str | None = None, with_ids: b
 
     def run(batches):
         encoder = load(path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for start, end in groups(texts):
-                part = batch.slice(start, end - start)
-                counts, shas, plain, packed = [], [], [], []
-                for found in encoder.encode(texts[start:end]):
-                    ids = list(chain.from_iterable(map(first, found)))
-                    counts.append(len(ids))
-                    shas.append(hashlib.sha256(b",".join(map(second, found))).hexdigest())
-                    plain.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-                    if with_ids:
-                        packed.append(np.array(ids, "<u4").tobytes())
-                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string())]
-                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+        for part in sliced(batches, 1):
+            counts, shas, plain, packed = [], [], [], []
+            for found in encoder.encode([t or "" for t in part.column(1).to_pylist()]):
+                ids = list(chain.from_iterable(map(first, found)))
+                counts.append(len(ids))
+                shas.append(hashlib.sha256(b",".join(map(second, found))).hexdigest())
+                plain.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
                 if with_ids:
-                    columns.append(pa.array(packed, pa.binary()))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                    packed.append(np.array(ids, "<u4").tobytes())
+            columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(plain, pa.string())]
+            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.array(packed, pa.binary()))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids binary" if with_ids else "")
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

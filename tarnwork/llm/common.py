@@ -1,4 +1,4 @@
-"""What the operators share: shipping the package to workers, staging of intermediate tables, column picking."""
+"""What the operators share: shipping the package to workers, staging of intermediate tables, slices of Arrow batches."""
 
 from __future__ import annotations
 
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset, one of our own for local runs."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_tarnwork_dir", None)
         if not found:
             found = tempfile.mkdtemp(prefix="tarnwork-shared-")
@@ -67,21 +69,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def groups(texts: list[str], rows: int = 1024, chars: int = 4_000_000):
-    """(start, end) of groups of texts that are encoded together: large enough to fill matrices, bounded in size."""
-    start = size = 0
-    for k, t in enumerate(texts):
-        if k > start and (k - start >= rows or size + len(t) > chars):
-            yield start, k
-            start, size = k, 0
-        size += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns can't clash with what an operator adds."""
-    return df.select(*names)
+def sliced(batches, column: int, rows: int = 1024, size: int = 4_000_000):
+    """Arrow batches in slices of at most ``rows`` rows and, but for a single row, ``size`` bytes of text: what Python copies at once is bounded."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = int(np.searchsorted(upto, before + size, "right"))
+            end = max(start + 1, min(end, start + rows, batch.num_rows))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def text_of(name: str = "text") -> Column:

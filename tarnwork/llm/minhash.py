@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import among, ship, stage
+from .common import among, ship, sliced, stage
 from .components import components
 
 SIDE, ROWS = 12, 3
@@ -120,7 +120,7 @@ def sketch(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 2):
             n, f1, f2, b = [], [], [], []
             for text in _texts(batch, 2):
                 found = shingles(text or b"", k)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import rangecoder
-from .common import groups, ship
+from .common import ship, sliced
 
 #: Ids that a segment holds, but for a longer last document.
 SEGMENT_IDS = 4_000_000
@@ -138,17 +138,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_bits:
             n_docs, n_ids, data = _segment(ids, names, id_bits)
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([seg], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64()), pa.array([data], pa.binary())], names=["shard", "seg", "n_docs", "n_ids", "data"])
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for begin, end in groups(texts, 8192, 8_000_000):
-                names_here = batch.column(0).slice(begin, end - begin).to_pylist()
-                for name, x in zip(names_here, encoder.encode(texts[begin:end]), strict=True):
-                    ids.append(np.append(x, np.uint32(end_id)))
-                    names.append(name)
-                    held += len(x) + 1
-                    if held >= SEGMENT_IDS:
-                        yield close()
-                        ids, names, held, seg = [], [], 0, seg + 1
+        for part in sliced(batches, 1, 8192, 8_000_000):
+            texts = [t or "" for t in part.column(1).to_pylist()]
+            for name, x in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
+                ids.append(np.append(x, np.uint32(end_id)))
+                names.append(name)
+                held += len(x) + 1
+                if held >= SEGMENT_IDS:
+                    yield close()
+                    ids, names, held, seg = [], [], 0, seg + 1
         if ids:
             yield close()
 

@@ -352,7 +352,7 @@ def test_word_encoder_equals_the_library():
     assert [x.tolist() for x in tokenfile.WordEncoder(path).encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-@pytest.mark.parametrize("n,d", [(500, 4), (10**5, 8), (10**4, 16), (10**6, 16), (10**6, 32), (10**6, 33), (10**6, 64), (10**7, 64)])
+@pytest.mark.parametrize("n,d", [(500, 4), (10**5, 8), (10**4, 16), (10**6, 16), (10**6, 32), (10**6, 33), (10**6, 64), (10**7, 64), (10**9, 64)])
 def test_cap_filters_keep_recall_and_work(n, d):
     """Pairs at cosine 0.95 with the settings of n vectors: the work a vector stays as given, and no pair is lost."""
     rng = np.random.default_rng(d)
@@ -425,3 +425,93 @@ def test_toxicity_of_a_rare_class(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
     assert any(t.startswith(" zor") for t in toxicity.learn(docs, labels).terms)
+
+
+def test_iban_before_other_words(spark):
+    """An account number ends where its country's length says, whatever capitals or numbers follow."""
+    texts = {1: "DE89 3704 0044 0532 0130 00 EUR 20", 2: "DE89370400440532013000 BIC COBADEFF", 3: "iban GB82 WEST 1234 5698 7654 32, NO93 8601 1117 947 NOK 5", 4: "XX89 3704 0044 0532 0130 00", 5: "DE88 3704 0044 0532 0130 00", 6: "ADE89370400440532013000"}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: [x["value"].replace(" ", "") for x in r["pii"] if x["kind"] == "iban"] for r in pii.find(table).collect()}
+    assert got == {1: ["DE89370400440532013000"], 2: ["DE89370400440532013000"], 3: ["GB82WEST12345698765432", "NO9386011117947"], 4: [], 5: [], 6: []}
+    text = pii.redact(table, text_col="text").where("doc_id = 1").first()["text"]
+    assert text == "[iban] EUR 20"
+
+
+def test_pii_of_the_method(spark):
+    """Spans of the kinds beyond the base, their scores, and redaction."""
+    texts = {1: "my ssn is 123-45-6789 and 000-12-3456, 900-12-3456", 2: "api_key = 'abcdef0123456789ABCDEF' token:short password: sixteencharacters", 3: "call +44 20 7946 0958 now", 4: None}
+    rows = {r["doc_id"]: r["pii"] for r in pii.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert [(x["kind"], x["value"], x["score"]) for x in rows[1] if x["ord"] > 3] == [("ssn", "123-45-6789", 0.6)]
+    assert [(x["kind"], x["value"]) for x in rows[2] if x["ord"] > 3] == [("secret", "abcdef0123456789ABCDEF"), ("secret", "sixteencharacters")]
+    assert [(x["kind"], x["score"]) for x in rows[3]] == [("phone", 0.8)] and rows[4] == []
+
+
+def brute_licenses(text, index):
+    """Labels by reading the window at every offset that a naive count of votes allows."""
+    ws, out = licenses.words(text), set()
+    for t in index.templates:
+        toks, need = licenses.words(t.text), [licenses.words(p) for p in t.mandatory]
+        rare = sorted({w for w in toks if w in ws}, key=lambda w: (-index.idf[w], w))[: index.anchors]
+        votes = {(j - i, w) for w in rare for i, x in enumerate(toks) if x == w for j, y in enumerate(ws) if y == w}
+        starts = {o for low, _ in votes for o, _ in votes if low <= o <= low + index.reach and sum(index.idf[w] for w in {w for p, w in votes if low <= p <= low + index.reach}) >= index.share * sum(index.idf[w] for w in rare) - 1e-9}
+        for start in starts if rare else ():
+            lo, hi = max(0, start - index.reach), max(0, start + len(toks) + index.reach)
+            if not all(any(ws[i : i + len(p)] == p for i in range(lo, hi - len(p) + 1)) for p in need):
+                continue
+            near = {w for i, w in enumerate(toks) if any(j < len(ws) and ws[j] == w for j in range(max(lo, start + i - index.reach), min(hi, start + i + index.reach + 1)))}
+            if sum(index.idf[w] for w in near) / sum(index.idf[w] for w in set(toks)) >= (index.share if len(need) > 1 else index.share / 2):
+                out.add(t.label)
+    return out
+
+
+def test_licenses_equal_brute_force(docs):
+    texts = [t or "" for _, t in texts_of(docs)][:60]
+    notices = [t.text for t in licenses.TEMPLATES]
+    rng = np.random.default_rng(8)
+    for k, n in enumerate(notices):
+        w = n.split()
+        cut = " ".join(x for x in w if rng.random() > 0.15)
+        texts += [f"some words before {n} and after", f"{cut} {notices[k - 1]}", " ".join(w[2:]), f"license {n} license license"]
+    for index in (licenses.Index(), licenses.build(docs)):
+        found = [({x for _, x, _ in index.scan(t)[2]}, brute_licenses(t, index)) for t in texts]
+        assert [a for a, _ in found] == [b for _, b in found] and sum(map(bool, (a for a, _ in found))) > 100
+
+
+def test_bpe_of_long_runs():
+    """Runs beyond the matrices' width are merged with a heap, to the library's ids."""
+    import tiktoken
+
+    path = tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoder = bpe.load(path)
+    library = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=encoder.ranks, special_tokens={})
+    rng = np.random.default_rng(4)
+    texts = ["a" * 5000, " " * 3000, "".join(rng.choice(list("abcdefghijklmnop"), 4000)), "ab" * 1000 + "é" * 700, "日本語" * 400, "x" * 513, "x" * 512]
+    for t, found in zip(texts, encoder.encode(texts), strict=True):
+        assert [i for ids, _ in found for i in ids] == library.encode_ordinary(t)
+
+
+def test_near_duplicates_of_repeated_rows(spark):
+    """dedup leaves one of the rows that agree in id and text, all without an id, and both of an id's different texts."""
+    rows = [(2, BASE, "a"), (2, BASE, "b"), (3, BASE, "a"), (None, BASE, "a"), (None, BASE, "a"), (4, "one two three four five six", "a"), (4, "seven eight nine ten eleven twelve", "a"), (5, None, "a"), (6, "", "a")]
+    kept = minhash.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept if r["doc_id"] != 5) == sorted([("2", BASE), ("None", BASE), ("None", BASE), ("4", rows[5][1]), ("4", rows[6][1]), ("6", "")])
+    assert sum(r["doc_id"] == 5 for r in kept) == 1
+
+
+def test_slices_of_batches():
+    import pyarrow as pa
+
+    from tarnwork.llm.common import sliced
+
+    texts = ["a" * n for n in (3, 9, 0, 1, 1, 1, 1, 1, 20, 2)] + [None] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    got = [s.column(0).to_pylist() for s in sliced([batch, batch.slice(2, 3)], 0, rows=4, size=10)]
+    assert [t for s in got for t in s] == texts + texts[2:5]
+    assert all(len(s) <= 4 and (len(s) == 1 or sum(len(t or "") for t in s) <= 10) for s in got)
+
+
+def test_components_say_when_rounds_do_not_suffice(spark):
+    from tarnwork.llm.components import components
+
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), rounds=1)
