@@ -8,7 +8,8 @@
   words; presence, sum and density feed a logistic curve.
 
 Null and empty texts have no match and get the score of no match.  Repeated rows give repeated results.  The scan is a
-map over rows: no shuffle, memory bounded by an Arrow batch and the lexicon.
+map over rows, whole texts however long: no shuffle, memory bounded by a slice of an Arrow batch and the lexicon.  Columns
+other than id and text are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, sliced
 
 #: Letters of other scripts that look like Latin ones, and digits and signs that stand for letters.
 LOOKALIKES = dict(zip("авекмнорстухіјѕԁɡαβεηικνορτυχω", "abekmhopctyxijsdgabenikvoptuxw", strict=True))
@@ -33,6 +34,10 @@ STANDINS = dict(zip("013457@$", "oieastas", strict=True))
 EXCEPTIONS = ("trash can", "trash bin", "pond scum", "clown fish", "clown shoes")
 
 
+#: The least evidence of a term, and the part of it that an extension of a term must have.
+EVIDENCE, SLACK = 13.0, 0.8
+
+
 class _Fold(dict):
     """Translation table for str.translate, filled as characters turn up: letters stay, the rest become blanks."""
 
@@ -83,7 +88,7 @@ class Lexicon:
         return self._machine
 
     def features(self, text: str) -> tuple[float, float, float, int]:
-        """Presence, capped sum of weights, density, number of matched words."""
+        """Presence, sum of weights (saturating, ever more slowly, towards 20), density, number of matched words."""
         folded = fold(text)
         if not len(self.terms):
             return 0.0, 0.0, 0.0, 0
@@ -100,7 +105,7 @@ class Lexicon:
                 del best[start]
         total = sum(best.values())
         words = len(text.split())
-        return float(bool(best)), min(total, 20.0), total / math.sqrt(1 + words / 100), len(best)
+        return float(bool(best)), total / (1 + total / 20), total / math.sqrt(1 + words / 100), len(best)
 
     def score(self, x: tuple) -> float:
         z = self.curve[0] + sum(a * b for a, b in zip(self.curve[1:], x, strict=False))
@@ -115,7 +120,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scan(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             found = [lexicon.features(t or "") for t in batch.column(1).to_pylist()]
             scores = [lexicon.score(x) for x in found]
             yield pa.RecordBatch.from_arrays(
@@ -134,9 +139,8 @@ def held_out(id_col: str = "doc_id"):
 def _candidates(text: str, shortest: int = 3, longest: int = 9) -> set[str]:
     out: set[str] = set()
     for word in set(fold(text).split()):
-        if len(word) <= 40:
-            out.add(f" {word} ")
-            out.update(f" {word[:k]}" for k in range(shortest, min(longest, len(word)) + 1))
+        out.add(f" {word} ")
+        out.update(f" {word[:k]}" for k in range(shortest, min(longest, len(word)) + 1))
     return out
 
 
@@ -158,7 +162,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = 6000) ->
     return rows, math.log(rates[0] / rates[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, min_docs: int = 4, max_terms: int = 4000) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, min_docs: int = 4) -> Lexicon:
     """A lexicon from labelled rows.  ``per_class`` bounds the sample; see :func:`training_rows`.
 
     Term counts are summed on the executors and only terms far likelier in one class come to the driver.  With no
@@ -184,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, min_docs: i
                         [pa.array([x for x, _ in part]), pa.array([label] * len(part), pa.int32()), pa.array([n for _, n in part], pa.int64())], names=["term", "toxic", "n"]
                     )
 
-        for batch in batches:
+        for batch in sliced(batches, 0):
             for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 seen[int(label > 0)][""] += 1
                 seen[int(label > 0)].update(_candidates(text or ""))
@@ -200,12 +204,16 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 6000, min_docs: i
     sizes = found.get(True, 0), found.get(False, 0)
     if min(sizes) == 0:
         return Lexicon({}, curve=(-4.0, 0.0, 0.0, 0.0))
-    kept = counts.where((F.col("term") != "") & (F.col("bad") >= min_docs) & may_matter(F.col("bad"), F.col("good"), *sizes)).orderBy(F.desc("bad"), "term").limit(200_000).collect()
-    terms = choose([(r["term"], r["bad"], r["good"]) for r in kept], *sizes, max_terms=max_terms)
+    rate = sizes[0] / sum(sizes)
+    bad, good = F.col("bad"), F.col("good")
+    told = bad * F.log(bad / ((bad + good) * rate)) + F.when(good > 0, good * F.log(good / ((bad + good) * (1 - rate)))).otherwise(0.0)
+    # A few hundred terms come to the driver, of a sample that per_class bounds.
+    kept = counts.where((F.col("term") != "") & (bad >= min_docs) & may_matter(bad, good, *sizes) & (told >= SLACK * EVIDENCE)).collect()
+    terms = choose([(r["term"], r["bad"], r["good"]) for r in kept], *sizes)
     lexicon = Lexicon(terms)
 
     def feature(batches):
-        for batch in batches:
+        for batch in sliced(batches, 0):
             got = [lexicon.features(t or "") for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in got], pa.float64()) for k in range(3)), batch.column(1).cast(pa.int32())], names=["a", "b", "c", "y"])
 
@@ -220,7 +228,7 @@ def may_matter(bad, good, bad_docs: int, good_docs: int):
     return (bad + 0.5) * (good_docs + 1) >= (good + 0.5) * (8 * (bad_docs + 1))
 
 
-def choose(found: list[tuple[str, int, int]], bad_docs: int, good_docs: int, max_terms: int = 4000, least: float = 2.3, evidence: float = 13.0) -> dict[str, float]:
+def choose(found: list[tuple[str, int, int]], bad_docs: int, good_docs: int, least: float = 2.3, evidence: float = EVIDENCE) -> dict[str, float]:
     """Terms whose smoothed log-odds exceed ``least``, and whose share of toxic documents chance would give with a
     probability below about exp(-``evidence``): of some 10^5 candidates none should be there by luck.
 
@@ -244,8 +252,7 @@ def choose(found: list[tuple[str, int, int]], bad_docs: int, good_docs: int, max
         shorter = [out[p] for p in (term[:k] for k in range(2, len(term))) if p in out]
         if not shorter or weights[term] > max(shorter) + 1.0:
             out[term] = weights[term]
-    best = sorted(out.items(), key=lambda x: (-x[1], x[0]))[:max_terms]
-    return dict(sorted(best))
+    return dict(sorted(out.items()))
 
 
 def _evidence(bad: int, good: int, rate: float) -> float:
