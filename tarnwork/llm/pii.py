@@ -19,6 +19,14 @@ from .common import text_of
 _LOCAL = "A-Za-z0-9._%+-"
 
 
+#: Lengths of account numbers (IBAN) by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+}
+_IBAN = "|".join(rf"(?:{'|'.join(codes.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+
+
 @dataclass(frozen=True)
 class Kind:
     name: str
@@ -38,7 +46,7 @@ KINDS = (
     Kind("ip", r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}", ".", 0.6, "ip|host|address|server|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "", 0.7, "card|visa|credit|pay|mastercard"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "", 0.8, "iban|account|bank|konto|compte", False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9])(?:{_IBAN})(?![A-Za-z0-9])", "", 0.8, "iban|account|bank|konto|compte", False),
     Kind("ssn", r"[0-9](?<![0-9A-Za-z.-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "-", 0.4, "ssn|social|security", False),
     Kind("secret", r"(?<=(?i:token|secret|password|passwd|key)[\"'\x20]{0,2}[=:][\"'\x20]{0,2})[A-Za-z0-9_/+-]{16,}+", "=", 0.8, "token|secret|password|key|auth", False),
 )
@@ -77,7 +85,7 @@ def luhn(digits: Column) -> Column:
 def mod97(iban: Column) -> Column:
     """True if the account number, its first four characters put last and letters read as 10 to 35, is 1 modulo 97."""
     plain = F.replace(iban, F.lit(" "), F.lit(""))
-    turned = F.split(F.concat(F.substring(plain, 5, 1000), F.substring(plain, 1, 4)), "")
+    turned = F.split(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
     digit = lambda ch: F.ascii(ch) - 48
     return F.aggregate(turned, F.lit(0), lambda a, ch: F.when(ch.rlike("[0-9]"), (a * 10 + digit(ch)) % 97).otherwise((a * 100 + digit(ch) - 7) % 97)) == 1
 
@@ -92,7 +100,7 @@ def _holds(kind: Kind, value: Column) -> Column:
     if kind.name == "phone":
         return F.length(digits).between(9, 15)
     if kind.name == "iban":
-        return F.length(F.replace(value, F.lit(" "), F.lit(""))).between(15, 34) & mod97(value)
+        return mod97(value)
     if kind.name == "ssn":
         return ~value.rlike("^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)

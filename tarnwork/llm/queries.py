@@ -58,7 +58,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.size(F.filter("pii", _is(k))).cast("long").alias(f"n_{k}") for k in kinds]
     base = F.filter("pii", lambda x: x["ord"] < len(kinds))
-    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), F.size("pii").cast("long").alias("n_spans"))
 
 
 def _is(kind: str):
