@@ -1,14 +1,18 @@
 """License scans with a positional index of rare words.
 
-Templates are short notices of public licences, as words.  Their words' rarity (IDF) is counted over all documents.  A
-text's licence words of the highest IDF are looked up in the templates' postings; every pair (place in text, place in
-template) votes for the template at one offset, so a notice shows as votes for one template at about one offset.  A
-place is reported if a template's votes there outweigh a share of its IDF and its mandatory phrases stand in the window.
+Templates are short notices of public licences, as words.  Their words' rarity (IDF) is counted over all documents.  Of a
+template's words that a text has, those of the highest IDF are looked up in the template's postings; each place of such a
+word, less its place in the template, is a vote for that offset, weighed by its IDF, so a notice shows as votes of
+different words at about one offset.  Where the votes outweigh a share of what these words could give, the window is read:
+it is reported if the mandatory phrases stand in it and its words have a share of the template's IDF.
 
 Three base phrases are searched for beside: wherever their words stand consecutively.
 
 Words: A-Z in lower case, runs of letters, digits and characters beyond ASCII.  Null texts are empty: no words, no
-places, score 0.  The scan maps rows; the only shuffle sums a few hundred document frequencies.
+places, score 0.  Texts are read whole, however long: votes grow with the places of a template's rare words.  Of templates
+of one label at one place the best counts, of equal ones the first.  Repeated rows are each reported; columns other than
+id and text are not read; an empty table gives an empty one.  The scan maps rows; the only shuffle sums a few hundred
+document frequencies.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, sliced
 
 #: Base phrases and their labels.
 BASE = {("cc", "by"): "cc-by", ("general", "public", "license"): "gpl", ("all", "rights", "reserved"): "reserved"}
@@ -44,6 +48,7 @@ TEMPLATES = (
     Template("lgpl", "under the terms of the GNU Lesser General Public License", ("gnu lesser general public license",)),
     Template("agpl", "under the terms of the GNU Affero General Public License", ("gnu affero general public license",)),
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license", "2 0")),
+    Template("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("neither the name", "endorse or promote products derived from this software")),
     Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use in source and binary forms",)),
     Template("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee")),
     Template("cc-by-nc", "Licensed under CC BY-NC 4.0", ("cc by nc",)),
@@ -67,6 +72,16 @@ TEMPLATES = (
     Template("isc", "ISC License", ("isc license",)),
     Template("cc0", "CC0 1.0 Universal", ("cc0",)),
     Template("cc-by", "Creative Commons Attribution 4.0 International", ("creative commons attribution 4 0",)),
+    Template("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license", "2 0")),
+    Template("bsl-1.0", "Distributed under the Boost Software License, Version 1.0", ("boost software license", "1 0")),
+    Template("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", ("in no event will the authors be held liable",)),
+    Template("artistic-2.0", "The Artistic License 2.0", ("artistic license 2 0",)),
+    Template("eupl-1.2", "Licensed under the European Union Public Licence, version 1.2", ("european union public licence", "1 2")),
+    Template("ofl-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1", ("sil open font license", "1 1")),
+    Template("wtfpl", "Do What The Fuck You Want To Public License", ("what the fuck you want to public license",)),
+    Template("ms-pl", "Microsoft Public License (Ms-PL)", ("microsoft public license",)),
+    Template("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ("you may not use this file except in compliance with the license", "apache org licenses license 2 0")),
+    Template("mit", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", ("the software is provided as is without warranty of any kind", "noninfringement")),
 )
 
 _WORD_BYTES = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
@@ -78,22 +93,30 @@ def words(text: str) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' words, and the anchors by which texts are looked up: each template's rarest words."""
+    """Postings of the templates' words, the rarity of each, and the words by which a text is passed over at once.
 
-    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, idf: dict[bytes, float] | None = None, anchors: int = 4, share: float = 0.5):
+    ``anchors`` is how many of a template's words in a text, the rarest, are looked up; ``reach`` by how many words a place
+    may be off.
+    """
+
+    def __init__(self, templates: tuple[Template, ...] = TEMPLATES, idf: dict[bytes, float] | None = None, anchors: int = 4, share: float = 0.5, reach: int = 3):
+        self.anchors, self.reach = anchors, reach
         self.templates, self.share = templates, share
         self.tokens = [words(t.text) for t in templates]
         self.mandatory = [[words(p) for p in t.mandatory] for t in templates]
         every = sorted({w for ws in self.tokens for w in ws} | {w for ps in self.mandatory for p in ps for w in p})
         self.idf = {w: (idf or {}).get(w, 1.0) for w in every}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for k, ws in enumerate(self.tokens):
+        self.postings: list[dict[bytes, list[int]]] = []
+        for ws in self.tokens:
+            places: dict[bytes, list[int]] = defaultdict(list)
             for i, w in enumerate(ws):
-                self.postings[w].append((k, i))
+                places[w].append(i)
+            self.postings.append(places)
+        self.rarest = [sorted(p, key=lambda w: (-self.idf[w], w)) for p in self.postings]
         self.needed = [frozenset(w for p in ps for w in p) for ps in self.mandatory]
-        self.weight = [sum(self.idf[w] for w in set(ws)) for ws in self.tokens]
-        self.anchors = {w for ws in self.tokens for w in sorted(set(ws), key=lambda w: (-self.idf[w], w))[:anchors]}
-        self.watched = self.anchors | {p[0] for p in BASE_WORDS}
+        self.weight = [sum(self.idf[w] for w in p) for p in self.postings]
+        # A text without the rarest mandatory word of any template has none of them.
+        self.watched = {min(ws, key=lambda w: (-self.idf[w], w)) for ws in self.needed} | {p[0] for p in BASE_WORDS}
 
     def vocabulary(self) -> list[bytes]:
         return sorted(self.idf)
@@ -103,39 +126,23 @@ class Index:
         ws = words(text)
         if self.watched.isdisjoint(ws):
             return len(ws), [], []
+        here = set(ws)
+        possible = [k for k, needed in enumerate(self.needed) if here.issuperset(needed)]
+        rare = {k: [w for w in self.rarest[k] if w in here][: self.anchors] for k in possible}
+        wanted = {w for found in rare.values() for w in found} | {p[0] for p in BASE_WORDS}
         base, at = [], defaultdict(list)
         for i, w in enumerate(ws):
-            if w in self.watched:
+            if w in wanted:
                 at[w].append(i)
         for phrase, label in zip(BASE_WORDS, BASE.values(), strict=True):
             n = len(phrase)
             base.extend((i, label) for i in at.get(phrase[0], ()) if ws[i : i + n] == phrase)
         found: list[tuple[float, int, int, int, str]] = []
-        here = set(ws)
-        possible = [here.issuperset(needed) for needed in self.needed]
-        votes: dict[tuple[int, int], set[bytes]] = defaultdict(set)
-        for w in self.anchors & at.keys():
-            for k, i in self.postings[w]:
-                if possible[k]:
-                    for j in at[w]:
-                        votes[k, j - i].add(w)
-        done: dict[int, int] = {}
-        for (k, start) in sorted(votes):
-            if k in done and start <= done[k]:  # a notice that lacks its first words may start before the text
-                continue
-            lo, hi = max(0, start - 3), max(0, start + len(self.tokens[k]) + 3)
-            window = ws[lo:hi]
-            if not all(_stands(p, window) for p in self.mandatory[k]):
-                continue
-            # A word counts where it stands within three words of its place in the template.
-            places = defaultdict(list)
-            for j, w in enumerate(window):
-                places[w].append(lo + j - start)
-            near = {w for i, w in enumerate(self.tokens[k]) if any(abs(p - i) <= 3 for p in places.get(w, ()))}
-            score = sum(self.idf[w] for w in near) / self.weight[k]
-            if score >= (self.share if len(self.mandatory[k]) > 1 else self.share / 2):
-                done[k] = start + len(self.tokens[k]) - 1
-                found.append((min(1.0, score), start, done[k], lo + min((j for j, w in enumerate(window) if w in near), default=0), self.templates[k].label))
+        for k in possible:
+            for start in self._offsets(k, rare[k], at):
+                match = self._read(k, start, ws)
+                if match:
+                    found.append(match)
         # Several templates of a label may match at one place: the best stays.
         best: dict[str, list[tuple[int, int, int, float]]] = defaultdict(list)
         for score, start, end, place, label in sorted(found, key=lambda x: (-x[0], *x[1:])):
@@ -144,6 +151,43 @@ class Index:
         return len(ws), sorted(base), sorted((place, label, score) for label, xs in best.items() for _, _, place, score in xs)
 
 
+    def _offsets(self, k: int, rare: list[bytes], at: dict[bytes, list[int]]) -> list[int]:
+        """Offsets of template k to which the rare words' votes, of each word once and within ``reach``, give half of what they could."""
+        votes = sorted((j - i, w) for w in rare for i in self.postings[k][w] for j in at[w])
+        enough = self.share * sum(self.idf[w] for w in rare)
+        held: Counter = Counter()
+        total, last, out = 0.0, 0, []
+        for first, (offset, w) in enumerate(votes):
+            held[w] += 1
+            total += self.idf[w] if held[w] == 1 else 0.0
+            while votes[last][0] < offset - self.reach:
+                old = votes[last][1]
+                held[old] -= 1
+                total -= self.idf[old] if not held[old] else 0.0
+                last += 1
+            if total >= enough - 1e-9:
+                out.extend(o for o, _ in votes[last : first + 1] if not out or o > out[-1])
+        return out
+
+    def _read(self, k: int, start: int, ws: list[bytes]) -> tuple[float, int, int, int, str] | None:
+        """(score, start, end, first word that counts, label) if the template stands at about this offset."""
+        n = len(self.tokens[k])
+        lo, hi = max(0, start - self.reach), max(0, start + n + self.reach)
+        window = ws[lo:hi]
+        if not all(_stands(p, window) for p in self.mandatory[k]):
+            return None
+        # A word counts where it stands within reach of its place in the template.
+        near, place = set(), None
+        for j, w in enumerate(window):
+            if any(abs(lo + j - start - i) <= self.reach for i in self.postings[k].get(w, ())):
+                near.add(w)
+                place = j if place is None else place
+        score = sum(self.idf[w] for w in near) / self.weight[k]
+        if score < (self.share if len(self.mandatory[k]) > 1 else self.share / 2):
+            return None
+        return min(1.0, score), start, start + n - 1, lo + (place or 0), self.templates[k].label
+
+
 BASE_WORDS = [[w.encode() for w in p] for p in BASE]
 
 
@@ -161,7 +205,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes], text_col: str
 
     def run(batches):
         seen: Counter = Counter()
-        for batch in batches:
+        for batch in sliced(batches, 0):
             for text in batch.column(0).to_pylist():
                 seen[b""] += 1
                 seen.update(wanted.intersection(words(text or "")))
@@ -192,7 +236,7 @@ def scan(docs: DataFrame, index: Index | None = None, id_col: str = "doc_id", te
     match = pa.struct([("word", pa.int64()), ("label", pa.string()), ("score", pa.float64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             rows = [index.scan(t or "") for t in batch.column(1).to_pylist()]
             n, base, own = zip(*rows, strict=True) if rows else ((), (), ())
             starts = [[i for i, _ in b] for b in base]
