@@ -102,7 +102,7 @@ def settings(n: int, d: int, passes: float, cosine: float = 0.95) -> tuple[int,
     if d < EXACT:
         return None
     angle, share = _caps(d)
-    low, high = float(np.interp(max(1e-7, 12 / max(24, n)), share, angle)), math.pi / 2
+    low, high = float(np.interp(12 / max(24, n), share, angle)), math.pi / 2
     if _meet(d, low, cosine) < MEET:
         for _ in range(40):
             middle = (low + high) / 2
