@@ -48,7 +48,7 @@ def query(sql: str | None = None):
 def _net(spark: SparkSession, sf_dir: str, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """Nodes and staged edges of the water network that the graph queries share."""
     s = a.sites(spark, sf_dir)
-    return s.select("structure_id", F.col("atom_index").alias("id")), network.edges(network.water_water(s, 1.0, k))
+    return s.select("structure_id", F.col("atom_index").alias("id")), stage(network.edges(network.water_water(s, 1.0, k)))
 
 
 @query(f"WITH {S}, {_pairs('w', 'WAT', 'WAT', 1.0, 3)} SELECT structure_id, u AS src, v AS dst, round(d, 6) AS distance FROM w WHERE u < v")
@@ -154,7 +154,7 @@ t AS (SELECT p.structure_id, m.component, sum(d) AS total FROM p JOIN m ON m.str
 SELECT structure_id, round(avg(CASE WHEN size > 1 THEN total / (size * (size - 1)) ELSE 0 END), 6) AS cpl FROM z JOIN t USING (structure_id, component) GROUP BY 1""")
 def characteristic_path_length(spark, sf_dir):
     n, e = _net(spark, sf_dir)
-    return graph.characteristic_path_length(n, stage(e), SID).withColumn("cpl", F.round("cpl", 6))
+    return graph.characteristic_path_length(n, e, SID).withColumn("cpl", F.round("cpl", 6))
 
 
 @query(f"WITH RECURSIVE {S}, {WW}, {E_}, {B_}, {BFS} SELECT structure_id, src, dst, d FROM p")
@@ -194,7 +194,7 @@ h AS (SELECT a.structure_id, a.atom_index FROM s a WHERE EXISTS (SELECT 1 FROM c
 SELECT s.structure_id, round(coalesce(sum(CASE WHEN h.atom_index IS NOT NULL THEN 1 / (coalesce(crowd, 0) + 1) END), 0) / (SELECT count(*) FROM cen), 6) AS score, count(*) - count(h.atom_index) AS unique_waters
 FROM s LEFT JOIN h USING (structure_id, atom_index) LEFT JOIN cr USING (structure_id, atom_index) GROUP BY 1""")
 def commonality(spark, sf_dir):
-    return conserve.commonality(a.sites(spark, sf_dir), _centers(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return conserve.commonality(a.sites(spark, sf_dir), _centers(spark, sf_dir)).select("structure_id", F.round("score", 6).alias("score"), "unique_waters")
 
 
 @query(f"""WITH {S}, {CEN}, o AS (SELECT b.label, count(a.atom_index) AS n FROM cen b LEFT JOIN s a ON {D2} <= 1 GROUP BY 1)
@@ -265,7 +265,7 @@ SELECT residue, round(sum(n) / (SELECT count(DISTINCT frame_idx) FROM f), 6) AS
 def residue_score(spark, sf_dir):
     f = a.frames(spark, sf_dir)
     n = f.groupBy("frame_idx", F.col("user_id").alias("residue")).agg(F.count("*").alias("n"))
-    frames = f.agg(F.count_distinct("frame_idx")).first()[0]
+    frames = f.agg(F.count_distinct("frame_idx"))
     return conserve.residue_scores(n, frames, 1.0).select("residue", F.round("score", 6).alias("score"), F.round("mean_waters", 6).alias("mean_waters"))
 
 
@@ -309,8 +309,7 @@ def msa_index(spark, sf_dir):
 SELECT structure_id, ref_resid, arg_min(seq_pos, abs(msa_col - want) * 1000 + seq_pos) AS resid FROM ix, w GROUP BY 1, 2""")
 def msa_translate(spark, sf_dir):
     ix = sequence.msa_index(a.sequences(spark, sf_dir))
-    first = ix.agg(F.min("structure_id")).first()[0]
-    return sequence.translate(ix, first, spark.createDataFrame([(3,), (8,), (12,)], "resid int"))
+    return sequence.translate(ix, ix.agg(F.min("structure_id").alias("structure_id")), spark.createDataFrame([(3,), (8,), (12,)], "resid int"))
 
 
 @query("SELECT l_orderkey AS structure_id, string_agg('ARNDCQEGHI'[(l_partkey % 10 + 1)::INT], '' ORDER BY l_linenumber, 'ARNDCQEGHI'[(l_partkey % 10 + 1)::INT]) AS sequence FROM lineitem GROUP BY 1")

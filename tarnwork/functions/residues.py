@@ -10,8 +10,11 @@ ONE_LETTER = {
     "ALA": "A", "ARG": "R", "ASN": "N", "ASP": "D", "CYS": "C", "GLN": "Q", "GLU": "E", "GLY": "G", "HIS": "H", "ILE": "I",
     "LEU": "L", "LYS": "K", "MET": "M", "PHE": "F", "PRO": "P", "SER": "S", "THR": "T", "TRP": "W", "TYR": "Y", "VAL": "V",
     "HID": "H", "HIE": "H", "HIP": "H", "HSD": "H", "HSE": "H", "HSP": "H", "CYX": "C", "CYM": "C", "ASH": "D", "GLH": "E",
-    "LYN": "K", "MSE": "M", "SEP": "S", "TPO": "T", "PTR": "Y", "SEC": "U", "PYL": "O",
+    "LYN": "K", "MSE": "M", "SEP": "S", "TPO": "T", "PTR": "Y", "SEC": "U", "PYL": "O", "HISD": "H", "HISE": "H", "HISP": "H",
+    "AS4": "D", "GL4": "E", "ARN": "R", "CSP": "C", "ASX": "D",
 }
+#: Groups that cap a chain, and counted to it.
+CAPS = ("ACE", "NME", "NMA", "NH2")
 #: Residue names of water.
 WATER = ("HOH", "WAT", "SOL", "H2O", "TIP3")
 
@@ -27,7 +30,7 @@ def is_water(resname: Column, name: str | None = None) -> Column:
 
 
 def is_protein(resname: Column) -> Column:
-    return resname.isin(*ONE_LETTER)
+    return resname.isin(*ONE_LETTER, *CAPS)
 
 
 def is_polar(name: Column) -> Column:

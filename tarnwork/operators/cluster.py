@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.staging import stage
 from .graph import components
 from .spatial import radius_join
 
@@ -20,6 +21,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int = 10, keys: tuple[str
     p = points.select(*keys, F.col(id_col).alias("id"), "x", "y", "z").withColumn("_k", F.lit(0))
     on = (*keys, "_k")
     near = radius_join(p, p, eps, keys=on, id_col="id", closed=True).select(*on, F.col("l.id").alias("src"), F.col("r.id").alias("dst"))
+    near = stage(near)
     core = near.groupBy(*on, "src").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(*on, F.col("src").alias("id"))
     among = near.join(core.withColumnRenamed("id", "src"), [*on, "src"], "left_semi").join(core.withColumnRenamed("id", "dst"), [*on, "dst"], "left_semi")
     label = components(core, among, on)

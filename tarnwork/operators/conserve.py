@@ -9,20 +9,26 @@ from .cluster import by_group
 from .spatial import near_any, radius_join
 
 
+def _frame(waters: DataFrame) -> list[str]:
+    """The columns that tell one frame of one structure of one run."""
+    return [c for c in ("run_name", "structure_id", "frame_idx") if c in waters.columns]
+
+
 def commonality(waters: DataFrame, centers: DataFrame, near: float = 1.5, inner: float = 2.0, outer: float = 6.0) -> DataFrame:
-    """(structure_id, score, unique_waters): the sum over waters near a centre of 1 / (1 + crowd), over the number of centres.
+    """(run_name, structure_id, frame_idx as far as the waters have them, score, unique_waters): the sum over waters near a centre of 1 / (1 + crowd), over the number of centres.
 
-    A water's crowd are the waters of its structure at more than ``inner`` and less than ``outer``.  Structures with no
+    A water's crowd are the waters of its own frame at more than ``inner`` and less than ``outer``.  Structures with no
     water near a centre score 0.
     """
-    w = waters.select("structure_id", F.col("atom_index").alias("id"), "x", "y", "z")
-    crowd = radius_join(w, w, outer, keys=("structure_id",), id_col="id").where(F.col("distance") > inner).groupBy("structure_id", F.col("l.id").alias("id")).agg(F.count("*").alias("crowd"))
-    at = near_any(w, centers.select("x", "y", "z"), near, closed=False).join(crowd, ["structure_id", "id"], "left").select("structure_id", "id", (1 / (F.coalesce("crowd", F.lit(0)) + 1)).alias("v"))
-    found = at.groupBy("structure_id").agg(F.sum("v").alias("s"), F.count("*").alias("hits"))
-    every = w.groupBy("structure_id").agg(F.count("*").alias("n"))
+    keys = _frame(waters)
+    w = waters.select(*keys, F.col("atom_index").alias("id"), "x", "y", "z")
+    crowd = radius_join(w, w, outer, keys=tuple(keys), id_col="id").where(F.col("distance") > inner).groupBy(*keys, F.col("l.id").alias("id")).agg(F.count("*").alias("crowd"))
+    at = near_any(w, centers.select("x", "y", "z"), near, closed=False).join(crowd, [*keys, "id"], "left").select(*keys, "id", (1 / (F.coalesce("crowd", F.lit(0)) + 1)).alias("v"))
+    found = at.groupBy(*keys).agg(F.sum("v").alias("s"), F.count("*").alias("hits"))
+    every = w.groupBy(*keys).agg(F.count("*").alias("n"))
     number = centers.agg(F.count("*").alias("n_centers"))
-    out = every.join(found, "structure_id", "left").join(F.broadcast(number))  # one row
-    return out.select("structure_id", (F.coalesce("s", F.lit(0.0)) / F.col("n_centers")).alias("score"), (F.col("n") - F.coalesce("hits", F.lit(0))).alias("unique_waters"))
+    out = every.join(found, keys, "left").join(F.broadcast(number))  # one row
+    return out.select(*keys, (F.coalesce("s", F.lit(0.0)) / F.col("n_centers")).alias("score"), (F.col("n") - F.coalesce("hits", F.lit(0))).alias("unique_waters"))
 
 
 def occupancy(waters: DataFrame, centers: DataFrame, cutoff: float = 1.0) -> DataFrame:
@@ -47,12 +53,13 @@ def clustered_network(centers: DataFrame, cutoff: float = 2.0, max_neighbors: in
 
 
 def conserved_interactions(waters: DataFrame, centers: DataFrame, cutoff: float = 1.0, connect: float = 2.0) -> DataFrame:
-    """(src, dst, n): in how many structures both ends of a centre-centre connection are occupied."""
-    w = waters.select("structure_id", "atom_index", "x", "y", "z").withColumn("_k", F.lit(0))
+    """(src, dst, n): in how many frames both ends of a centre-centre connection are occupied."""
+    frame = F.struct(*_frame(waters)).alias("frame")
+    w = waters.select(frame, "atom_index", "x", "y", "z").withColumn("_k", F.lit(0))
     c = centers.select("label", "x", "y", "z").withColumn("_k", F.lit(0))
-    held = radius_join(w, c, cutoff, keys=("_k",), closed=True).select(F.col("l.structure_id").alias("structure_id"), F.col("r.label").alias("label")).distinct()
+    held = radius_join(w, c, cutoff, keys=("_k",), closed=True).select(F.col("l.frame").alias("frame"), F.col("r.label").alias("label")).distinct()
     net = clustered_network(centers, connect)
-    both = net.join(held.withColumnRenamed("label", "src"), "src").join(held.withColumnRenamed("label", "dst"), ["structure_id", "dst"]).groupBy("src", "dst").agg(F.count_distinct("structure_id").alias("n"))
+    both = net.join(held.withColumnRenamed("label", "src"), "src").join(held.withColumnRenamed("label", "dst"), ["frame", "dst"]).groupBy("src", "dst").agg(F.count_distinct("frame").alias("n"))
     return net.join(both, ["src", "dst"], "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -91,10 +98,17 @@ def histogram2d(rows: DataFrame, x: str, y: str, bins: int = 50, keys: tuple[str
     return at.groupBy(*keys, _bucket(F.col(x), F.col("_xl"), F.col("_xh"), bins).alias("bin_x"), _bucket(F.col(y), F.col("_yl"), F.col("_yh"), bins).alias("bin_y")).agg(F.count("*").alias("n"), F.log(F.count("*")).alias("log_n"))
 
 
-def residue_scores(per_frame: DataFrame, n_frames: int, cutoff: float = 0.0) -> DataFrame:
-    """(residue, score, mean_waters): interactions per frame, and waters at once in frames that have any."""
-    out = per_frame.groupBy("residue").agg((F.sum("n") / F.lit(n_frames)).alias("score"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("mean_waters"))
-    return out.where(F.col("score") > cutoff)
+def residue_scores(per_frame: DataFrame, n_frames: int | DataFrame, cutoff: float = 0.0) -> DataFrame:
+    """(residue, score, mean_waters): interactions per frame, and waters at once in frames that have any.
+
+    ``n_frames`` is a number, or a table of one row and column that has it.
+    """
+    out = per_frame.groupBy("residue").agg(F.sum("n").alias("score"), F.avg(F.when(F.col("n") > 0, F.col("n"))).alias("mean_waters"))
+    if isinstance(n_frames, DataFrame):
+        out = out.join(F.broadcast(n_frames.toDF("_frames")))  # one row
+    else:
+        out = out.withColumn("_frames", F.lit(n_frames))
+    return out.withColumn("score", F.col("score") / F.col("_frames")).where(F.col("score") > cutoff).drop("_frames")
 
 
 def angle_ranges(rows: DataFrame, pad: float = 0.1) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,13 +56,14 @@ def clustering(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS)
 
     Triangles come from edges oriented from the lower to the higher degree, so a hub's neighbours don't all pair.
     """
-    both = _both(edges, keys)
-    k = both.groupBy(*keys, "src").agg(F.count("*").alias("k"))
+    both = stage(_both(edges, keys))
+    k = stage(both.groupBy(*keys, "src").agg(F.count("*").alias("k")))
     rank = lambda end, name: k.select(*keys, F.col("src").alias(end), F.struct("k", F.col("src").alias("v")).alias(name))
     up = both.join(rank("src", "a"), [*keys, "src"]).join(rank("dst", "b"), [*keys, "dst"]).where("a < b").select(*keys, "src", "dst", "b")
+    up = stage(up)
     wedge = up.select(*keys, "src", F.col("dst").alias("u"), F.col("b").alias("ru")).join(up.select(*keys, "src", F.col("dst").alias("w"), F.col("b").alias("rw")), [*keys, "src"]).where("ru < rw")
     closed = wedge.join(up.select(*keys, F.col("src").alias("u"), F.col("dst").alias("w")), [*keys, "u", "w"])
-    corners = reduce(DataFrame.unionAll, [closed.select(*keys, F.col(c).alias("id")) for c in ("src", "u", "w")])
+    corners = closed.select(*keys, F.explode(F.array("src", "u", "w")).alias("id"))
     t = corners.groupBy(*keys, "id").agg(F.count("*").alias("t"))
     out = nodes.join(k.withColumnRenamed("src", "id"), [*keys, "id"], "left").join(t, [*keys, "id"], "left")
     value = F.when(F.col("k") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(F.lit(0.0))
@@ -71,9 +73,11 @@ def clustering(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS)
 def directed_clustering(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Directed clustering: directed triangles through a node over twice (d (d - 1) - 2 reciprocal), d in plus out degree."""
     e = edges.where("src <> dst").select(*keys, "src", "dst").distinct()
+    e = stage(e)
     w = _both(e, keys).join(e.withColumn("_f", F.lit(1)), [*keys, "src", "dst"], "left").join(
         e.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).alias("_g")), [*keys, "src", "dst"], "left"
     ).select(*keys, "src", "dst", (F.coalesce("_f", F.lit(0)) + F.coalesce("_g", F.lit(0))).alias("m"))
+    w = stage(w)
     a = w.select(*keys, F.col("src").alias("id"), F.col("dst").alias("u"), F.col("m").alias("m1"))
     b = w.select(*keys, F.col("src").alias("id"), F.col("dst").alias("v"), F.col("m").alias("m2"))
     c = w.select(*keys, F.col("src").alias("u"), F.col("dst").alias("v"), F.col("m").alias("m3"))
@@ -99,15 +103,15 @@ def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS,
         step = stage(step.join(jump, [*keys, "component"], "left").select(*keys, "id", F.least("component", F.coalesce("j", "component")).alias("component"), "was"))
         label, rounds = step.drop("was"), rounds - 1
         if step.where("component <> was").isEmpty():
-            break
-    return label
+            return label
+    raise RuntimeError("components are not finished in the rounds allowed")
 
 
 def component_sizes(labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return labels.groupBy(*keys, "component").agg(F.count("*").alias("size"))
 
 
-def distances(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS, directed: bool = False, sources: DataFrame | None = None, limit: int = 10_000) -> DataFrame:
+def distances(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS, directed: bool = False, sources: DataFrame | None = None) -> DataFrame:
     """(keys, src, dst, d, prev): shortest path lengths from ``sources`` (all nodes), the start included with d = 0.
 
     Breadth first: each round extends only the last round's frontier.  prev is the smallest predecessor, which makes
@@ -118,7 +122,7 @@ def distances(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS,
     start = (sources or nodes).select(*keys, "id").distinct()
     seen = stage(start.select(*keys, F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("d"), F.lit(None).cast(start.schema["id"].dataType).alias("prev")))
     frontier, found, d = seen, [seen], 0
-    while d < limit:
+    while True:
         d += 1
         reached = frontier.select(*keys, "src", F.col("dst").alias("mid")).join(e, [*keys, "mid"]).groupBy(*keys, "src", F.col("to").alias("dst")).agg(F.min("mid").alias("prev"))
         # Undirected, a new node can't stand two or more rounds back; directed, it can stand in any.
@@ -130,12 +134,47 @@ def distances(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS,
     return reduce(DataFrame.unionAll, found)
 
 
+def _path_totals(edges: DataFrame, label: DataFrame, keys: tuple[str, ...], sources: int = 512) -> DataFrame:
+    """(keys, component, total): the sum of all shortest path lengths within each component.
+
+    A task has a component's edges and ``sources`` of its nodes, whose searches advance together as bits of machine words;
+    only sums leave it, never a row a pair.  Large components are dealt to several tasks.
+    """
+    import pandas as pd
+
+    both = _both(edges, keys).join(label.select(*keys, F.col("id").alias("src"), "component"), [*keys, "src"])
+    deals = component_sizes(label, keys).where("size > 1").select(*keys, "component", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / sources).cast("int"))).alias("deal"))
+    on = [*keys, "component", "deal"]
+    rows = both.join(deals, [*keys, "component"]).select(*on, "src", "dst")
+
+    def run(group):
+        names, at = np.unique(group[["src", "dst"]].to_numpy().ravel(), return_inverse=True)
+        at = at.reshape(-1, 2)
+        src, dst = at[np.argsort(at[:, 1], kind="stable")].T
+        first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+        own = np.arange(len(names))[int(group["deal"].iloc[0]) * sources :][:sources]
+        front = np.zeros((len(names), -(-len(own) // 64)), np.uint64)
+        lane = np.arange(len(own))
+        front[own, lane // 64] = np.uint64(1) << (lane % 64).astype(np.uint64)
+        seen, total, step = front.copy(), 0, 0
+        while front.any():
+            step += 1
+            reached = np.zeros_like(front)
+            reached[dst[first]] = np.bitwise_or.reduceat(front[src], first, axis=0)
+            front = reached & ~seen
+            seen |= front
+            total += step * int(np.bitwise_count(front).sum())
+        return pd.DataFrame({**{c: group[c].iloc[:1].to_numpy() for c in on}, "total": [total]})
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in on)
+    return rows.groupBy(*on).applyInPandas(run, f"{kinds}, total long").groupBy(*keys, "component").agg(F.sum("total").alias("total"))
+
+
 def characteristic_path_length(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS, exclude_single_points: bool = False, largest_only: bool = False) -> DataFrame:
     """Mean over components of their mean shortest path; single nodes count as 0 unless excluded.  (keys, cpl)"""
     label = components(nodes, edges, keys)
     size = component_sizes(label, keys)
-    d = distances(nodes, edges, keys).where("d > 0").join(label.withColumnRenamed("id", "src"), [*keys, "src"])
-    total = d.groupBy(*keys, "component").agg(F.sum("d").alias("total"))
+    total = _path_totals(edges, label, keys)
     each = size.join(total, [*keys, "component"], "left").withColumn("mean", F.when(F.col("size") > 1, F.col("total") / (F.col("size") * (F.col("size") - 1))).otherwise(F.lit(0.0)))
     if exclude_single_points:
         each = each.where("size > 1")

@@ -1,7 +1,7 @@
 """Connections between water oxygens, hydrogens and polar protein atoms, and the graphs they make.
 
-Sites: structure_id, frame_idx, atom_index, mol_id, role (O, H1, H2, PROT), category (WAT, PROTEIN), name, resid,
-msa_resid, x, y, z.  A connection is a row (src, dst, atom_name, connection_type, site_status, classification, distance,
+Sites: structure_id, frame_idx, atom_index, mol_id (the residue, of which there is one in a frame), role (O, H1, H2, PROT),
+category (WAT, PROTEIN), name, chain (may be absent), resid, msa_resid, x, y, z.  A connection is a row (src, dst, atom_name, connection_type, site_status, classification, distance,
 angle); edges are distinct (src, dst).
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import angle, angle_at, point, sub
 from ..functions.residues import backbone, backbone_donor, is_heavy
+from ..plans.staging import numbered
 from .spatial import KEYS, radius_join
 
 COLUMNS = (*KEYS, "src", "dst", "atom_name", "connection_type", "site_status", "classification", "distance", "angle")
@@ -45,11 +46,17 @@ def water_protein(sites: DataFrame, cutoff: float = 3.3, max_neighbors: int = 10
     )
 
 
+def _residue(sites: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Sites with a chain, and the columns that tell a residue."""
+    chain = F.coalesce("chain", F.lit("")) if "chain" in sites.columns else F.lit("")
+    return sites.withColumn("chain", chain), [*KEYS, "category", "chain", "resid"]
+
+
 def with_status(connections: DataFrame, sites: DataFrame, active: DataFrame) -> DataFrame:
-    """site_status: active_region if an end's molecule (category and resid) is in the active region."""
-    who = sites.select(*KEYS, F.col("atom_index"), "category", "resid")
-    marked = active.select(*KEYS, "category", "resid").distinct().withColumn("_on", F.lit(True))
-    state = who.join(marked, [*KEYS, "category", "resid"], "left").select(*KEYS, "atom_index", F.coalesce("_on", F.lit(False)).alias("_on"))
+    """site_status: active_region if an end's residue (category, chain and resid) is in the active region."""
+    who, by = _residue(sites)
+    marked = _residue(active)[0].select(*by).distinct().withColumn("_on", F.lit(True))
+    state = who.join(marked, by, "left").select(*KEYS, "atom_index", F.coalesce("_on", F.lit(False)).alias("_on"))
     out = connections.drop("site_status")
     for end in ("src", "dst"):
         out = out.join(state.withColumnRenamed("atom_index", end).withColumnRenamed("_on", f"_{end}"), [*KEYS, end], "left")
@@ -61,7 +68,8 @@ def undirected(sites: DataFrame, cutoff: float = 3.3, max_neighbors: int = 10, w
     if max_neighbors < 2:
         raise ValueError("max_neighbors must be at least 2: an atom is its own nearest neighbour")
     if active is not None and active_only:
-        sites = sites.join(active.select(*KEYS, "category", "resid").distinct(), [*KEYS, "category", "resid"], "left_semi")
+        sites, by = _residue(sites)
+        sites = sites.join(_residue(active)[0].select(*by).distinct(), by, "left_semi")
     found = water_water(sites, cutoff, max_neighbors, box)
     if not water_only:
         found = found.unionByName(water_protein(sites, cutoff, max_neighbors, box))
@@ -75,8 +83,8 @@ def _oxygen_of(sites: DataFrame) -> DataFrame:
 
 def donor_heavy(hydrogens: DataFrame, heavy: DataFrame) -> DataFrame:
     """Each hydrogen's nearest heavy atom in its residue, as columns dx, dy, dz."""
-    h = heavy.select(*KEYS, "resid", *(F.col(a).alias(f"d{a}") for a in "xyz"), F.col("atom_index").alias("_d"))
-    near = hydrogens.join(h, [*KEYS, "resid"]).withColumn("_at", F.struct(((F.col("x") - F.col("dx")) ** 2 + (F.col("y") - F.col("dy")) ** 2 + (F.col("z") - F.col("dz")) ** 2).alias("d"), "_d"))
+    h = heavy.select(*KEYS, "mol_id", *(F.col(a).alias(f"d{a}") for a in "xyz"), F.col("atom_index").alias("_d"))
+    near = hydrogens.join(h, [*KEYS, "mol_id"]).withColumn("_at", F.struct(((F.col("x") - F.col("dx")) ** 2 + (F.col("y") - F.col("dy")) ** 2 + (F.col("z") - F.col("dz")) ** 2).alias("d"), "_d"))
     best = near.groupBy(*KEYS, "atom_index").agg(F.min_by(F.struct("dx", "dy", "dz"), "_at").alias("_b")).select(*KEYS, "atom_index", "_b.*")
     return hydrogens.join(best, [*KEYS, "atom_index"], "left")
 
@@ -151,4 +159,4 @@ def disjoint_union(graphs: list[DataFrame]) -> DataFrame:
     rows = graphs[0].withColumn("graph", F.lit(0))
     for k, g in enumerate(graphs[1:], 1):
         rows = rows.unionByName(g.withColumn("graph", F.lit(k)))
-    return rows.withColumn("node", F.row_number().over(Window.orderBy("graph", *KEYS, "atom_index")) - 1)
+    return numbered(rows, "node", "graph", *KEYS, "atom_index")

@@ -26,10 +26,16 @@ def attach_msa(sites: DataFrame, index: DataFrame) -> DataFrame:
     return sites.drop("msa_resid").join(index.select("structure_id", F.col("seq_pos").alias("resid"), F.col("msa_col").alias("msa_resid")), ["structure_id", "resid"], "left")
 
 
-def translate(index: DataFrame, reference: str, resids: DataFrame) -> DataFrame:
-    """(structure_id, ref_resid, resid): the residue whose alignment column is nearest to the reference residue's, the first of equals."""
-    want = index.where(F.col("structure_id") == reference).join(resids.select(F.col("resid").alias("seq_pos")), "seq_pos").select(F.col("seq_pos").alias("ref_resid"), F.col("msa_col").alias("want"))
-    # resids are a handful of residues that a selection names
+def translate(index: DataFrame, reference: str | DataFrame, resids: DataFrame, most: int = 10_000) -> DataFrame:
+    """(structure_id, ref_resid, resid): the residue whose alignment column is nearest to the reference residue's, the first of equals.
+
+    ``reference`` is a structure, or a table of one row that names it.  ``resids`` are residues that a selection names: at
+    most ``most``, counted, since every residue of every structure is held against each of them.
+    """
+    if resids.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} residues to translate")
+    own = index.join(F.broadcast(reference), "structure_id", "left_semi") if isinstance(reference, DataFrame) else index.where(F.col("structure_id") == reference)
+    want = own.join(resids.select(F.col("resid").alias("seq_pos")), "seq_pos").select(F.col("seq_pos").alias("ref_resid"), F.col("msa_col").alias("want"))
     both = index.join(F.broadcast(want))
     return both.groupBy("structure_id", "ref_resid").agg(F.min_by("seq_pos", F.struct(F.abs(F.col("msa_col") - F.col("want")), "seq_pos")).alias("resid"))
 

@@ -81,8 +81,10 @@ def active_region(sites: DataFrame, reference: DataFrame, radius: float, keys: t
     protein = close.where("category = 'PROTEIN'")
     found = protein.unionByName(sites.where("category = 'WAT'").join(waters, [*keys, "mol_id"], "left_semi").select(*protein.columns))
     if "resid" in reference.columns:
-        own = reference.select(*keys, "resid").distinct()
-        found = found.unionByName(sites.where("category = 'PROTEIN'").join(own, [*keys, "resid"], "left_semi").select(*protein.columns))
+        by = [*keys, *(c for c in ("chain", "resid") if c in reference.columns and c in sites.columns)]
+        own = reference.select(*by).distinct()
+        same = [sites[c].eqNullSafe(own[c]) for c in by]
+        found = found.unionByName(sites.where("category = 'PROTEIN'").join(own, same, "left_semi").select(*protein.columns))
     return found.dropDuplicates([*keys, "category", "atom_index"])
 
 

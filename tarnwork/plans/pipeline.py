@@ -16,15 +16,21 @@ def sites(atoms: DataFrame, config: Config, msa: DataFrame | None = None) -> Dat
     """Waters (first oxygen and two hydrogens a residue) and polar protein atoms, with hydrogens if asked for."""
     water = is_water(F.col("resname"), config.water_name)
     protein = is_protein(F.col("resname"))
+    # A residue is a molecule; where the reader does not number them, chain and number tell it.
+    if "mol_id" not in atoms.columns:
+        residue = [c for c in ("chain", "resid", "icode") if c in atoms.columns]
+        atoms = atoms.withColumn("mol_id", F.min("atom_index").over(Window.partitionBy(*KEYS, *residue)).cast("long"))
+    if "chain" not in atoms.columns:
+        atoms = atoms.withColumn("chain", F.lit(None).cast("string"))
     custom = atoms.where("false").select(*KEYS, "atom_index")
     if config.custom_selection:
         custom = select(atoms, config.custom_selection).select(*KEYS, "atom_index")
     w = atoms.where(water & F.col("name").rlike("[HO]"))
     kind = F.when(F.col("name").startswith("O"), "O").when(F.col("name").contains("H"), "H")
-    rank = F.row_number().over(Window.partitionBy(*KEYS, "resid", "kind").orderBy("atom_index"))
+    rank = F.row_number().over(Window.partitionBy(*KEYS, "mol_id", "kind").orderBy("atom_index"))
     w = w.withColumn("kind", kind).where("kind is not null").withColumn("rank", rank)
     role = F.when((F.col("kind") == "O") & (F.col("rank") == 1), "O").when((F.col("kind") == "H") & (F.col("rank") <= 2), F.concat(F.lit("H"), "rank"))
-    columns = [*KEYS, "atom_index", F.col("resid").alias("mol_id"), "role", "category", "name", "resid", F.lit(None).cast("int").alias("msa_resid"), "x", "y", "z"]
+    columns = [*KEYS, "atom_index", "mol_id", "role", "category", "name", "chain", "resid", F.lit(None).cast("int").alias("msa_resid"), "x", "y", "z"]
     w = w.withColumn("role", role).where("role is not null").withColumn("category", F.lit("WAT")).select(*columns)
     if not config.include_hydrogens and not config.directed:
         w = w.where("role = 'O'")
@@ -35,9 +41,9 @@ def sites(atoms: DataFrame, config: Config, msa: DataFrame | None = None) -> Dat
     p = polar
     if config.include_hydrogens or config.directed:
         h = body.where(F.col("name").rlike("^[0-9]*H"))
-        heavy = polar.select(*KEYS, "resid", *(F.col(a).alias(f"_{a}") for a in "xyz"))
+        heavy = polar.select(*KEYS, "mol_id", *(F.col(a).alias(f"_{a}") for a in "xyz"))
         near = sum(((F.col(a) - F.col(f"_{a}")) ** 2 for a in "xyz"), F.lit(0.0)) < 1.2**2
-        p = polar.unionByName(h.join(heavy, [*KEYS, "resid"]).where(near).select(*h.columns).distinct())
+        p = polar.unionByName(h.join(heavy, [*KEYS, "mol_id"]).where(near).select(*h.columns).distinct())
     p = p.withColumn("role", F.lit("PROT")).withColumn("category", F.lit("PROTEIN")).select(*columns)
     if msa is not None:
         p = sequence.attach_msa(p, msa).select(*w.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.residues import is_protein, is_water
-from ..operators.spatial import KEYS, centre_of_mass, near_any
+from ..operators.spatial import KEYS, near_any
 
 _TOKEN = re.compile(r"[()]|[^\s()]+")
 _WORDS = {"and", "or", "not", "resid", "resname", "name", "chain", "protein", "water", "all", "around", "sphzone", "point"}
@@ -126,7 +126,7 @@ def _apply(atoms: DataFrame, tree) -> DataFrame:
         return near_any(atoms, spot, tree[4], KEYS)
     inner = _apply(atoms, tree[2])
     if kind == "sphzone":
-        return near_any(atoms, centre_of_mass(inner), tree[1], KEYS)
+        return near_any(atoms, inner.groupBy(*KEYS).agg(*(F.avg(a).alias(a) for a in "xyz")), tree[1], KEYS)
     return near_any(atoms, inner, tree[1], KEYS).join(inner.select(*on), on, "left_anti")
 
 

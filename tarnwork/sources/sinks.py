@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 
 def save_results(df: DataFrame, path: str, table: str, run_name: str) -> None:
-    df.withColumn("run_name", F.lit(run_name)).write.mode("append").partitionBy("run_name").parquet(f"{path.rstrip('/')}/{table}")
+    """A run of the same name is replaced; other runs stay."""
+    df.withColumn("run_name", F.lit(run_name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_name").parquet(f"{path.rstrip('/')}/{table}")
 
 
 def save_csv(df: DataFrame, path: str) -> None:
