@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from .functions import geometry as g
 from .operators import cluster, conserve, graph, network, sequence, spatial, voxels
 from .plans import adapters as a
+from .plans import pipeline
+from .plans.config import Config
+from .plans.select import select
 from .plans.staging import stage
 
 QUERIES: dict = {}
@@ -162,10 +165,69 @@ def shortest_path_lengths(spark, sf_dir):
     return graph.distances(*_net(spark, sf_dir), SID).drop("prev")
 
 
-@query()
+@query(f"""WITH RECURSIVE {S}, {WW}, {E_}, {B_}, {BFS}, v AS (SELECT p.structure_id, p.src, p.dst, min(q.dst) AS prev FROM p JOIN b ON b.structure_id = p.structure_id AND b.dst = p.dst
+  JOIN p q ON q.structure_id = p.structure_id AND q.src = p.src AND q.dst = b.src AND q.d = p.d - 1 GROUP BY 1, 2, 3),
+r(structure_id, src, dst, cur, path) AS (SELECT structure_id, src, dst, dst, dst::VARCHAR FROM p UNION ALL
+  SELECT r.structure_id, r.src, r.dst, v.prev, v.prev || '-' || r.path FROM r JOIN v ON v.structure_id = r.structure_id AND v.src = r.src AND v.dst = r.cur)
+SELECT structure_id, src, dst, path FROM r WHERE cur = src""")
 def shortest_paths(spark, sf_dir):
     n, e = _net(spark, sf_dir)
-    return graph.shortest_path(e, n, keys=SID)
+    return graph.shortest_path(e, n, keys=SID).select("structure_id", "src", "dst", F.array_join("path", "-").alias("path"))
+
+
+@query(f"""WITH RECURSIVE {S}, {WW}, {E_}, {B_}, {BFS}, {CC}, z AS (SELECT structure_id, component, count(*) AS size FROM m GROUP BY 1, 2),
+t AS (SELECT p.structure_id, m.component, sum(d) AS total FROM p JOIN m ON m.structure_id = p.structure_id AND m.id = p.src GROUP BY 1, 2)
+SELECT structure_id, round(arg_max(CASE WHEN size > 1 THEN total / (size * (size - 1)) ELSE 0 END, size * 1000000000 - component), 6) AS cpl FROM z JOIN t USING (structure_id, component) GROUP BY 1""")
+def largest_component_path_length(spark, sf_dir):
+    n, e = _net(spark, sf_dir)
+    return graph.characteristic_path_length(n, e, SID, largest_only=True).withColumn("cpl", F.round("cpl", 6))
+
+
+@query(f"""WITH {S}, {WW}, {E_}, a AS (SELECT structure_id, src, dst FROM e UNION SELECT structure_id, dst, src FROM e WHERE (src + dst) % 3 = 0),
+m AS (SELECT structure_id, src, dst, count(*) AS m FROM (SELECT structure_id, src, dst FROM a UNION ALL SELECT structure_id, dst, src FROM a) GROUP BY 1, 2, 3),
+d AS (SELECT structure_id, src AS id, sum(m) AS d, count(*) FILTER (m = 2) AS r FROM m GROUP BY 1, 2),
+t AS (SELECT x.structure_id, x.src AS id, sum(x.m * y.m * z.m) AS t FROM m x JOIN m y ON x.structure_id = y.structure_id AND x.src = y.src AND x.dst < y.dst
+  JOIN m z ON z.structure_id = x.structure_id AND z.src = x.dst AND z.dst = y.dst GROUP BY 1, 2)
+SELECT s.structure_id, s.atom_index AS id, round(CASE WHEN d * (d - 1) - 2 * r > 0 THEN coalesce(t, 0) / (d * (d - 1) - 2 * r) ELSE 0 END, 6) AS clustering
+FROM s LEFT JOIN d ON d.structure_id = s.structure_id AND d.id = s.atom_index LEFT JOIN t ON t.structure_id = s.structure_id AND t.id = s.atom_index""")
+def directed_clustering_coefficient(spark, sf_dir):
+    n, e = _net(spark, sf_dir)
+    back = e.where((F.col("src") + F.col("dst")) % 3 == 0).select("structure_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.directed_clustering(n, e.select("structure_id", "src", "dst").union(back), SID).withColumn("clustering", F.round("clustering", 6))
+
+
+@query(f"""WITH {R}, m AS (SELECT *, CASE substr(name, 1, 1) WHEN 'N' THEN 14.007 ELSE 15.999 END AS w FROM s WHERE category = 'PROTEIN'),
+b AS (SELECT structure_id, sum(w * x) / sum(w) AS x, sum(w * y) / sum(w) AS y, sum(w * z) / sum(w) AS z FROM m GROUP BY 1),
+r AS (SELECT a.structure_id, max(sqrt({D2})) - 0.5 AS r FROM m a JOIN b ON a.structure_id = b.structure_id GROUP BY 1)
+SELECT a.structure_id, a.atom_index FROM s a JOIN b ON a.structure_id = b.structure_id JOIN r ON r.structure_id = a.structure_id WHERE a.category = 'WAT' AND sqrt({D2}) <= r""")
+def near_protein_waters(spark, sf_dir):
+    s = a.sites(spark, sf_dir, True).withColumn("element", F.substring("name", 1, 1))
+    return spatial.near_protein(s.where("category = 'WAT'"), s.where("category = 'PROTEIN'"), -0.5, SID).select("structure_id", "atom_index")
+
+
+@query(f"""WITH {R}, {WP}, act AS (SELECT DISTINCT structure_id, category, resid FROM s a WHERE a.category = 'PROTEIN' AND a.resid % 5 = 0)
+SELECT structure_id, v AS src, u AS dst FROM p WHERE EXISTS (SELECT 1 FROM act WHERE act.structure_id = p.structure_id AND act.resid = vresid)""")
+def active_subgraph(spark, sf_dir):
+    s = a.sites(spark, sf_dir, True)
+    marked = network.with_status(network.water_protein(s, 1.2, 4), s, s.where("category = 'PROTEIN' and resid % 5 = 0"))
+    return network.subgraph(marked, "active_region").select("structure_id", "src", "dst")
+
+
+@query(f"""WITH {R}, r AS (SELECT * FROM s WHERE category = 'PROTEIN' AND resid % 5 = 0)
+SELECT structure_id, atom_index, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM s a WHERE category = 'WAT' AND EXISTS (SELECT 1 FROM r b WHERE a.structure_id = b.structure_id AND {D2} <= 1.44)""")
+def active_coordinates(spark, sf_dir):
+    s = a.sites(spark, sf_dir, True)
+    active = spatial.active_region(s, s.where("category = 'PROTEIN' and resid % 5 = 0"), 1.2)
+    return graph.coordinates(network.nodes(s), "active_region", active).select("structure_id", "atom_index", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+@query(f"""WITH {R}, {_pairs('p', 'WAT', 'PROTEIN', 1.2, 4)}, q AS (SELECT p.structure_id, vresid AS residue, v, u, least(d, sqrt((b.x - a.x - 0.3) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2), sqrt((b.x - a.x) ** 2 + (b.y - a.y - 0.3) ** 2 + (b.z - a.z) ** 2)) AS d
+  FROM p JOIN s a ON a.structure_id = p.structure_id AND a.atom_index = u JOIN s b ON b.structure_id = p.structure_id AND b.atom_index = v)
+SELECT structure_id, residue, count(*) AS n, round(min(d), 6) AS nearest, round(max(d), 6) AS farthest FROM q GROUP BY 1, 2""")
+def water_distances(spark, sf_dir):
+    s = a.with_hydrogens(a.sites(spark, sf_dir, True))
+    found = network.water_distances(network.water_protein(s, 1.2, 4), s)
+    return found.select("structure_id", "residue", F.size("distances").cast("long").alias("n"), F.round(F.array_min("distances"), 6).alias("nearest"), F.round(F.array_max("distances"), 6).alias("farthest"))
 
 
 CEN = "cen AS (SELECT structure_id AS label, avg(x) AS x, avg(y) AS y, avg(z) AS z, count(*) AS n FROM s GROUP BY 1)"
@@ -242,6 +304,40 @@ def hbond_angle_filter(spark, sf_dir):
     return found.select("structure_id", "src", "dst", "atom_name", F.round("distance", 6).alias("distance"), F.round("angle", 4).alias("angle"))
 
 
+_HP = "h AS (SELECT structure_id, atom_index AS don, x + 0.3 AS x, y, z, 1 AS k FROM s WHERE category = 'WAT' UNION ALL SELECT structure_id, atom_index, x, y + 0.3, z, 2 FROM s WHERE category = 'WAT')"
+_HA = _sql_angle(_diff("b", "o"), _diff("o", "a"))
+
+
+@query(f"""WITH {R}, {_HP}, n AS (SELECT a.structure_id, a.don AS src, b.atom_index AS dst, a.k, b.name AS atom_name, sqrt({D2}) AS d, {_HA} AS angle,
+  row_number() OVER (PARTITION BY a.structure_id, a.don, a.k ORDER BY sqrt({D2}), b.atom_index) AS r FROM h a JOIN s b ON a.structure_id = b.structure_id AND b.category = 'PROTEIN' AND {D2} < 1 JOIN s o ON o.atom_index = a.don)
+SELECT structure_id, src, dst, atom_name, CASE WHEN atom_name IN ('O', 'N') THEN 'backbone' ELSE 'side-chain' END AS classification, round(d, 6) AS distance, round(angle, 4) AS angle FROM n WHERE r <= 10""")
+def water_hydrogen_to_protein(spark, sf_dir):
+    found = network.directed(a.with_hydrogens(a.sites(spark, sf_dir, True)), 1.0, 10).where("connection_type = 'WAT-PROT'")
+    return found.select("structure_id", "src", "dst", "atom_name", "classification", F.round("distance", 6).alias("distance"), F.round("angle", 4).alias("angle"))
+
+
+@query(f"""WITH {R}, {_HP}, n AS (SELECT a.structure_id, a.don AS src, b.atom_index AS dst, a.k, sqrt({D2}) AS d, row_number() OVER (PARTITION BY a.structure_id, a.don, a.k ORDER BY sqrt({D2}), b.atom_index) AS r
+  FROM h a JOIN s b ON a.structure_id = b.structure_id AND b.category = 'WAT' AND {D2} < 1), m AS (SELECT b.structure_id, a.don AS src, b.atom_index AS dst, a.k, sqrt({D2}) AS d,
+  row_number() OVER (PARTITION BY b.structure_id, b.atom_index ORDER BY sqrt({D2}), a.don * 10 + 1000000000 + a.k) AS r FROM h a JOIN s b ON a.structure_id = b.structure_id AND b.category = 'WAT' AND {D2} < 1),
+u AS (SELECT structure_id, src, dst, d FROM n WHERE r <= 2 UNION SELECT structure_id, src, dst, d FROM m WHERE r <= 2)
+SELECT structure_id, src, dst, round(min(d), 6) AS distance FROM u WHERE src <> dst GROUP BY 1, 2, 3""")
+def directed_both_ways(spark, sf_dir):
+    found = network.directed(a.with_hydrogens(a.sites(spark, sf_dir, True)), 1.0, 2, water_only=True, reverse=True)
+    return network.edges(found).select("structure_id", "src", "dst", F.round("distance", 6).alias("distance"))
+
+
+@query(f"""WITH {R}, {_pairs('p', 'WAT', 'PROTEIN', 1.2, 10)}, q AS (SELECT v % 16 AS msa_resid, {_REF[0]} AS a, {_REF[1]} AS b FROM p JOIN s q ON q.atom_index = v JOIN s t ON t.atom_index = u)
+SELECT round(min(a) - (max(a) - min(a)) * 0.1, 4) AS low1, round(max(a) + (max(a) - min(a)) * 0.1, 4) AS high1, round(min(b) - (max(b) - min(b)) * 0.1, 4) AS low2, round(max(b) + (max(b) - min(b)) * 0.1, 4) AS high2,
+  (SELECT string_agg(r, ',' ORDER BY r) FROM (SELECT DISTINCT msa_resid AS r FROM q)) AS msa_resids FROM q""")
+def angle_ranges(spark, sf_dir):
+    s = a.sites(spark, sf_dir, True)
+    c = network.water_protein(s, 1.2).select("structure_id", "src", "dst")
+    for end, p in (("src", "p"), ("dst", "w")):
+        c = c.join(s.select("structure_id", F.col("atom_index").alias(end), *(F.col(x).alias(f"{p}{x}") for x in "xyz")), ["structure_id", end])
+    out = conserve.angle_ranges(conserve.two_angles(c).withColumn("msa_resid", F.col("src") % 16))
+    return out.select(*(F.round(f"{n}_angle{k}", 4).alias(f"{n}{k}") for k in (1, 2) for n in ("low", "high")), F.array_join("msa_resids", ",").alias("msa_resids"))
+
+
 @query(f"WITH {S} SELECT structure_id, atom_index, round(-y + 1.0, 6) AS x, round(x + 2.0, 6) AS y, round(z + 3.0, 6) AS z FROM s")
 def rigid_transform(spark, sf_dir):
     s = a.sites(spark, sf_dir)
@@ -317,6 +413,24 @@ def fasta_from_atoms(spark, sf_dir):
     return sequence.fasta_from_atoms(a.atoms(spark, sf_dir))
 
 
+@query("""WITH t AS (SELECT l_orderkey AS structure_id, l_linenumber AS resid, 'ARNDCQEGHI'[(l_partkey % 10 + 1)::INT] AS c FROM lineitem)
+SELECT structure_id, resid FROM t WHERE (c IN ('A', 'R') AND NOT resid BETWEEN 2 AND 3) OR (c = 'G' AND resid = 2)""")
+def selection_language(spark, sf_dir):
+    return select(a.atoms(spark, sf_dir), "resname ALA ARG and not resid 2-3 or resname GLY and resid 2").select("structure_id", "resid")
+
+
+@query("""WITH w AS (SELECT l_suppkey AS structure_id, l_returnflag AS chain, l_orderkey AS resid, l_orderkey * 100000 + l_partkey * 10 + l_linenumber AS atom_index FROM lineitem)
+SELECT structure_id, chain, resid, min(atom_index) AS atom_index FROM w GROUP BY 1, 2, 3""")
+def first_oxygens_of_chains(spark, sf_dir):
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
+    atoms = l.select(
+        F.col("l_suppkey").alias("structure_id"), F.lit(0).alias("frame_idx"), F.col("l_returnflag").alias("chain"), F.col("l_orderkey").alias("resid"), (F.col("l_orderkey") * 100000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("atom_index"),
+        F.lit("HOH").alias("resname"), F.lit("O").alias("name"), F.col("l_quantity").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"),
+    )
+    found = pipeline.build(atoms, Config(network_type="water-water"))["nodes"]
+    return found.select("structure_id", "chain", "resid", "atom_index")
+
+
 @query(f"WITH {S}, v AS (SELECT 0 AS graph, structure_id, atom_index FROM s WHERE structure_id < 5 UNION ALL SELECT 1, structure_id, atom_index FROM s WHERE structure_id >= 5) SELECT graph, structure_id, atom_index, row_number() OVER (ORDER BY graph, structure_id, atom_index) - 1 AS node FROM v")
 def disjoint_union(spark, sf_dir):
     s = a.sites(spark, sf_dir)

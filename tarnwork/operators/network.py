@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import angle, angle_at, point, sub
+from ..functions.geometry import angle, angle_at, point, squared, sub
 from ..functions.residues import backbone, backbone_donor, is_heavy
 from ..plans.staging import numbered
 from .spatial import KEYS, radius_join
@@ -135,6 +135,20 @@ def directed(sites: DataFrame, cutoff: float = 2.5, max_neighbors: int = 10, ang
     return _shaped(found.dropDuplicates([*KEYS, "src", "dst", "distance"]) if reverse else found)
 
 
+def water_distances(connections: DataFrame, sites: DataFrame, by: str = "resid", box=None) -> DataFrame:
+    """(keys, residue, distances): for each water-protein connection the least distance between the protein atom and any of
+    the water's atoms, ascending, by residue (``by``: resid or msa_resid)."""
+    at = lambda p: tuple(F.col(f"{p}{a}") for a in "xyz")
+    protein = sites.where("category = 'PROTEIN'").select(*KEYS, F.col("atom_index").alias("p"), F.col(by).alias("residue"), *(F.col(a).alias(f"p{a}") for a in "xyz"))
+    water = sites.where("category = 'WAT'").select(*KEYS, "mol_id", *(F.col(a).alias(f"w{a}") for a in "xyz"))
+    ends = connections.where("connection_type = 'WAT-PROT'").select(*KEYS, "src", "dst").distinct()
+    pairs = ends.select(*KEYS, F.col("src").alias("p"), F.col("dst").alias("w")).union(ends.select(*KEYS, F.col("dst").alias("p"), F.col("src").alias("w")))
+    oxygen = first_oxygens(sites).select(*KEYS, F.col("atom_index").alias("w"), "mol_id")
+    met = pairs.join(protein, [*KEYS, "p"]).join(oxygen, [*KEYS, "w"]).join(water, [*KEYS, "mol_id"])
+    least = met.groupBy(*KEYS, "residue", "p", "w").agg(F.min(F.sqrt(squared(at("p"), at("w"), box))).alias("d"))
+    return least.groupBy(*KEYS, "residue").agg(F.sort_array(F.collect_list("d")).alias("distances"))
+
+
 def edges(connections: DataFrame) -> DataFrame:
     """Distinct (src, dst) with the attributes of the nearest of their connections."""
     rest = [c for c in connections.columns if c not in (*KEYS, "src", "dst")]

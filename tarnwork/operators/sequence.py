@@ -40,6 +40,21 @@ def translate(index: DataFrame, reference: str | DataFrame, resids: DataFrame, m
     return both.groupBy("structure_id", "ref_resid").agg(F.min_by("seq_pos", F.struct(F.abs(F.col("msa_col") - F.col("want")), "seq_pos")).alias("resid"))
 
 
+def match_names(names: DataFrame, structures: DataFrame, most: int = 10_000) -> DataFrame:
+    """(structure_id, name): of the names in an alignment the one that belongs to each structure.
+
+    An equal name counts first, then one that holds what stands before the structure's first '_', then before its first
+    '.'; of several the shortest, then the first.  Names are those of one alignment: at most ``most``, counted.
+    """
+    if names.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} names")
+    s, n = structures.select("structure_id").distinct(), names.select("name").distinct()
+    told = [F.col("name") == F.col("structure_id"), *(F.contains("name", F.split_part("structure_id", F.lit(mark), F.lit(1))) for mark in "_.")]
+    both = s.join(F.broadcast(n), told[0] | told[1] | told[2])
+    rank = F.struct(*(~t for t in told), F.length("name"), F.col("name"))
+    return both.groupBy("structure_id").agg(F.min_by("name", rank).alias("name"))
+
+
 def similarity(pairs: DataFrame) -> DataFrame:
     """Adds similarity to rows (a, b) of sequences: matches of a global alignment without penalties over its length, gaps only."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, fields
 
 METRICS = ("density", "connected_components", "interaction_counts", "per_residue_interactions", "characteristic_path_length", "graph_entropy", "clustering_coefficient", "save_coordinates")
@@ -100,6 +101,8 @@ def parse_inputs(text: str) -> Config:
             if isinstance(known[key].default, float) and isinstance(value, int) and not isinstance(value, bool):
                 value = float(value)
             setattr(config, key, value)
+        else:
+            warnings.warn(f"unknown key {key!r} is left out", stacklevel=2)
     if conditions:
         config.analysis_conditions = conditions
     return config.check()

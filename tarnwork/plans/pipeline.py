@@ -99,7 +99,7 @@ def analyze(atoms: DataFrame, config: Config, msa: DataFrame | None = None) -> d
     if config.classify_water:
         out["classification"] = classify(out, config)
     if config.cluster_coordinates:
-        points = out["nodes"].where("category = 'WAT'").select(F.xxhash64(*KEYS, "id").alias("id"), "x", "y", "z")
+        points = out["nodes"].where("category = 'WAT'").select(F.shiftrightunsigned(F.xxhash64(*KEYS, "id"), 1).alias("id"), "x", "y", "z")
         labels = cluster.cluster(points, config.clustering_method, eps=config.eps, min_samples=config.min_cluster_samples)
         out["centers"] = cluster.centers(labels.join(points, "id"))
     return out

@@ -15,6 +15,27 @@ def histogram_metrics(metrics: DataFrame, names: tuple[str, ...] = ("density", "
     return conserve.histogram(long, "value", bins, keys)
 
 
+METRICS = ("density", "cpl", "entropy", "water_water", "water_protein")
+
+
+def metrics(tables: dict[str, DataFrame], pooled: list[str] | bool | None = None) -> DataFrame:
+    """(run_name, structure_id, frame_idx, the five metrics) of finished runs, null where a run lacks one.
+
+    Runs that ``pooled`` lists count as one, "pooled"; true pools all, other runs stay apart.
+    """
+    keys = ["run_name", "structure_id", "frame_idx"]
+    out = None
+    for name, columns in (("density", ["density"]), ("cpl", ["cpl"]), ("entropy", ["entropy"]), ("interaction_counts", ["water_water", "water_protein"])):
+        if name in tables:
+            some = tables[name].select(*keys, *columns)
+            out = some if out is None else out.join(some, keys, "full")
+    for c in METRICS:
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("double"))
+    one = F.lit(True) if pooled is True else F.col("run_name").isin(*pooled) if pooled else F.lit(False)
+    return out.withColumn("run_name", F.when(one, "pooled").otherwise(F.col("run_name"))).select(*keys, *METRICS)
+
+
 def densities(points: DataFrame, n_frames: int, delta: float = 1.0, threshold: float = 1.5) -> tuple[DataFrame, DataFrame]:
     grid = voxels.voxels(points, delta, n_frames=n_frames)
     return grid, voxels.hotspots(grid, threshold, delta)

@@ -41,14 +41,22 @@ def pdb_line(record: str = "ATOM"):
 
 
 def save_centers(centers: DataFrame, path: str, b_factor: str | None = None) -> None:
-    """Cluster centres as oxygens of dummy waters; resid is the label, the B-factor a score."""
+    """Cluster centres as oxygens of dummy waters; resid is the label, or the place where that
+    has more than four digits; the B-factor a score."""
     rows = _numbered(centers, None, ("label",)).select(
-        "part", "n", (F.col("n") - 1).cast("int").alias("serial"), F.lit(" O").alias("name4"), F.lit("HOH").alias("resname"), F.lit("A").alias("chain"), F.col("label").cast("int").alias("resid"), "x", "y", "z",
+        "part", "n", (F.col("n") - 1).cast("int").alias("serial"), F.lit(" O").alias("name4"), F.lit("HOH").alias("resname"), F.lit("A").alias("chain"), F.when(F.col("label").between(0, 9999), F.col("label")).otherwise((F.col("n") - 1) % 10_000).cast("int").alias("resid"), "x", "y", "z",
         F.lit(1.0).alias("occupancy"), (F.col(b_factor).cast("double") if b_factor else F.lit(0.0)).alias("b_factor"), F.lit("O").alias("element"),
     )
     _text(rows.select("part", "n", pdb_line().alias("value")), path, footer=["END"])
 
 
+def save_hotspots(hotspots: DataFrame, path: str) -> None:
+    """Hotspots of a density grid as oxygens of dummy waters; the B-factor is the density."""
+    rows = hotspots.withColumn("_order", -F.col("density"))
+    rows = _numbered(rows, None, ("_order", "ix", "iy", "iz")).withColumn("label", F.col("n"))
+    save_centers(rows.drop("part", "n"), path, "density")
+
+
 def save_atoms(atoms: DataFrame, path: str, chain: str | None = None) -> None:
     """Atoms as PDB files, a file a structure; with ``chain`` only that chain and whatever isn't protein."""
     from ..functions.residues import is_protein
