@@ -15,9 +15,16 @@ or few components), all vectors of one length pass one common filter, and the re
 
 Vectors travel to their filters in half precision.  What the rounding leaves undecided is verified in double precision.
 
+Two vectors may meet in many filters, but their link is told once.  A vector carries its ``HEADS`` first filters in a hashed
+order; the first that stands among the heads of both tells the link: its task adds it to the counts of both and keeps only
+links that span what they join.  So groups of near copies leave counts and trees, not pairs.  Pairs without a common head
+(few) and undecided ones are written as rows and made distinct.
+
 Equal vectors are one class before any filter, so copies cost nothing.  A filter that more than ``chunk`` classes pass
 is compared chunk with chunk by several tasks.  Vectors that are null, zero, hold null or non-finite components, or lack
-an id link with nothing; vectors of different length don't link.  Null ids are kept, with themselves as component.
+an id link with nothing; vectors of different length don't link.  Null ids are kept, with themselves as component.  Rows
+that repeat an id and its vector are one vector, reported each; of one id's different vectors each links by itself, and
+the id counts once with either.  Columns other than id and vector are not read; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,6 +42,8 @@ from .components import components
 
 #: Independent codes: a pair that one is unlucky with meets in another.
 CODES = 3
+#: Filters that each vector carries along, to tell where a link is counted.
+HEADS = 12
 #: Least chance that of two vectors at the sought cosine one passes a filter that the other passes.
 MEET = 0.3
 #: Vectors of fewer components are compared pair by pair: the product code fits them badly.
@@ -137,8 +146,47 @@ def _slack(d: int) -> float:
     return 2 * half + half * half + (d + 8) * 2.0**-23
 
 
-def _links(classes: DataFrame, n: dict[int, int], cosine: float, passes: float, chunk: int) -> DataFrame:
-    """(a, b), a < b: classes whose vectors reach the cosine; ``n`` has the number of classes of each vector length."""
+def _heads(found: np.ndarray) -> bytes:
+    """The first filters in a hashed order, filled up with -1."""
+    order = np.argsort(found.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:HEADS]
+    return np.append(found[order], np.full(HEADS - len(order), -1)).astype("<i8").tobytes()
+
+
+def _told_at(heads: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of rows the first head that both have, -1 if there is none."""
+    out = np.full(len(i), -1, np.int64)
+    for k in range(0, len(i), 20_000):
+        a, b = heads[i[k : k + 20_000]], heads[j[k : k + 20_000]]
+        common = (a[:, :, None] == b[:, None, :]).any(2) & (a >= 0)
+        first = common.argmax(1)
+        out[k : k + 20_000] = np.where(common.any(1), a[np.arange(len(a)), first], -1)
+    return out
+
+
+def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of n rows those that a search keeps, which join the same rows."""
+    if len(i) < 2:
+        return i, j
+    linked = np.zeros((n, n), bool)
+    linked[i, j] = linked[j, i] = True
+    unseen, out = np.ones(n, bool), []
+    for start in np.unique(i):
+        if not unseen[start]:
+            continue
+        unseen[start], waiting = False, [start]
+        while waiting:
+            at = waiting.pop()
+            new = np.flatnonzero(linked[at] & unseen)
+            unseen[new] = False
+            out.extend((at, x) for x in new)
+            waiting.extend(new)
+    a, b = np.array(out).T
+    return a, b
+
+
+def _links(classes: DataFrame, n: dict[int, int], cosine: float, passes: float, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of classes whose vectors reach the cosine: links (a, b) that join all of them, counts (a, n) of the vectors beyond
+    a's class, and pairs (a, b), a < b, that these counts leave out; ``n`` has the number of classes of each vector length."""
     import pyarrow as pa
 
     kind = classes.schema["rep"].dataType.simpleString()
@@ -150,17 +198,19 @@ def _links(classes: DataFrame, n: dict[int, int], cosine: float, passes: float,
             by: dict[int, list[int]] = {}
             for i, r in enumerate(rows):
                 by.setdefault(len(r), []).append(i)
-            packed = [None] * len(rows)
+            packed, heads = [None] * len(rows), [None] * len(rows)
             for d, at in by.items():
                 for lo in range(0, len(at), 512):
                     part = at[lo : lo + 512]
                     x = _units(np.array([rows[i] for i in part]))
                     for i, v, f in zip(part, x.astype(np.float16), filters(x, n[d], passes, cosine), strict=True):
-                        found[i], packed[i] = f, v.tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "unit", "filters"])
+                        found[i], packed[i], heads[i] = f, v.tobytes(), _heads(f)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(packed, pa.binary()), pa.array(heads, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["rep", "members", "unit", "heads", "filters"]
+            )
 
-    passed = stage(classes.select("rep", "vector").mapInArrow(run, f"rep {kind}, unit binary, filters array<long>"), "filters")
-    rows = passed.select("rep", "unit", F.explode("filters").alias("filter"))
+    passed = stage(classes.select("rep", "vector", "members").mapInArrow(run, f"rep {kind}, members long, unit binary, heads binary, filters array<long>"), "filters")
+    rows = passed.select("rep", "members", "unit", "heads", F.explode("filters").alias("filter"))
     counts = passed.select(F.explode("filters").alias("filter")).groupBy("filter").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / chunk))
     counts = stage(counts, "counts")
     work = counts.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
@@ -169,7 +219,7 @@ def _links(classes: DataFrame, n: dict[int, int], cosine: float, passes: float,
     several = stage(counts.where("parts > 1").select("filter", "parts"), "several")
     met = rows.join(several, "filter", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
     met = met.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    met = met.select("rep", "unit", "filter", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") <= F.col("other")).alias("first"))
+    met = met.select("rep", "members", "unit", "heads", "filter", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") <= F.col("other")).alias("first"))
     met = met.withColumn("bin", F.pmod(F.xxhash64("filter", "u", "v"), F.lit(bins)))
 
     def compare(rows):
@@ -180,24 +230,37 @@ def _links(classes: DataFrame, n: dict[int, int], cosine: float, passes: float,
         cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
         reps, first = rows["rep"].to_numpy(), rows["first"].to_numpy()
         units = rows["unit"].to_numpy()
-        out_a, out_b, sure = [], [], []
+        members = rows["members"].to_numpy()
+        heads = np.frombuffer(b"".join(rows["heads"]), "<i8").reshape(-1, HEADS)
+        beyond = np.zeros(len(rows), np.int64)
+        out: list[tuple] = []
         for lo, hi in zip(np.r_[0, cut], np.r_[cut, len(key)], strict=True):
             if hi - lo < 2:
                 continue
             x = np.frombuffer(b"".join(units[lo:hi]), np.float16).reshape(hi - lo, -1).astype(np.float32)
             products, slack = x @ x.T, _slack(x.shape[1])
             i, j = np.nonzero(products >= cosine - slack)
-            keep = i < j
+            keep = (i < j) & (reps[lo + i] != reps[lo + j])
             if key[lo, 1] != key[lo, 2]:
-                keep &= first[lo:hi][i] != first[lo:hi][j]
-            out_a.append(reps[lo:hi][i[keep]])
-            out_b.append(reps[lo:hi][j[keep]])
-            sure.append(products[i[keep], j[keep]] >= cosine + slack)
-        a, b, sure = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, sure))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": sure.astype(bool)}).drop_duplicates()
-
-    near = met.groupBy("bin").applyInPandas(compare, f"a {kind}, b {kind}, sure boolean").where("a <> b")
-    near = stage(near.groupBy("a", "b").agg(F.max("sure").alias("sure")), "near")
+                keep &= first[lo + i] != first[lo + j]
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            sure, told = products[i, j] >= cosine + slack, _told_at(heads[lo:hi], i, j)
+            here = sure & (told == key[lo, 0])
+            for p, q in ((i, j), (j, i)):
+                np.add.at(beyond, lo + p[here], members[lo + q[here]])
+            for what, (p, q) in (("link", _spanning(hi - lo, i[here], j[here])), ("sure", (i[sure & (told < 0)], j[sure & (told < 0)])), ("doubt", (i[~sure], j[~sure]))):
+                out.append((reps[lo + p], reps[lo + q], np.full(len(p), what, object), np.zeros(len(p), np.int64)))
+        some = np.flatnonzero(beyond)
+        out.append((reps[some], reps[some], np.full(len(some), "count", object), beyond[some]))
+        a, b, what, number = (np.concatenate(c) for c in zip(*out, strict=True))
+        told = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "what": what, "n": number})
+        return told.groupby(["a", "b", "what"], as_index=False)["n"].sum()
+
+    told = stage(met.groupBy("bin").applyInPandas(compare, f"a {kind}, b {kind}, what string, n long"), "told")
+    counts = told.where("what = 'count'").groupBy("a").agg(F.sum("n").alias("n"))
+    near = told.where("what in ('sure', 'doubt')").groupBy("a", "b").agg(F.max(F.col("what") == "sure").alias("sure"))
     doubtful = near.where("not sure").select("a", "b")
     for side in "ab":
         doubtful = doubtful.join(classes.select(F.col("rep").alias(side), F.col("vector").alias(f"v{side}")), side)
@@ -209,7 +272,8 @@ def _links(classes: DataFrame, n: dict[int, int], cosine: float, passes: float,
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(reached, pa.bool_()))
 
     verified = doubtful.select("a", "b", "va", "vb").mapInArrow(verify, f"a {kind}, b {kind}")
-    return near.where("sure").select("a", "b").union(verified.distinct())  # ids may repeat
+    pairs = stage(near.where("sure").select("a", "b").union(verified.distinct()), "pairs")  # ids may repeat
+    return told.where("what = 'link'").select("a", "b").union(pairs), counts, pairs
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95, passes: float = 110, chunk: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -222,10 +286,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95, passes: float = 11
     classes = rows.where("vector is not null").groupBy("vector").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("members"))
     classes = stage(classes, "classes")
     n = {r["d"]: r["n"] for r in classes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}  # one row a length
-    links = stage(_links(classes, n, cosine, passes, chunk), "links")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links, counts, pairs = _links(classes, n, cosine, passes, chunk)
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     sizes = classes.groupBy("rep").agg(F.sum("members").alias("members"))
-    beyond = both.join(sizes.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("members").alias("beyond"))
+    beyond = both.join(sizes.withColumnRenamed("rep", "b"), "b").select("a", F.col("members").alias("n")).union(counts)
+    beyond = beyond.groupBy("a").agg(F.sum("n").alias("beyond"))
     where = components(links)
     facts = classes.join(beyond, classes["rep"] == beyond["a"], "left").join(where, F.col("rep") == where["id"], "left")
     facts = facts.select("vector", (F.col("members") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -515,3 +515,20 @@ def test_components_say_when_rounds_do_not_suffice(spark):
 
     with pytest.raises(RuntimeError):
         components(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long"), rounds=1)
+
+
+def test_embeddings_of_dense_groups(spark):
+    """Groups of near copies over several chunks, with cap filters: links counted once each, components whole."""
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((40, 24))
+    x = np.vstack([b + rng.uniform(0.05, 0.3) * rng.standard_normal((100, 24)) for b in base])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert capfilter.settings(len(x), 24, 110 / capfilter.CODES)
+    near = u @ u.T >= 0.95
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(x.tolist())] + [(len(x), x[0].tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in capfilter.near_duplicates(table, chunk=32).collect()}
+    want = near.sum(1) - 1 + near[0]
+    missed = sum(int(want[i]) - got[i]["n_links"] for i in range(len(x)))
+    assert all(got[i]["n_links"] <= want[i] for i in range(len(x))) and missed <= 1e-4 * want.sum()
+    comp = components_of(range(len(x) + 1), [(int(i), int(j)) for i, j in np.argwhere(near) if i < j] + [(0, len(x))])
+    assert sum(got[i]["component_id"] != comp[i] for i in comp) <= 2
