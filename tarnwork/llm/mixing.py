@@ -31,29 +31,39 @@ def key_of(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
+def _running(rows: DataFrame, order: tuple, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Adds _rank, from 0, and for each column of ``sums`` the sum _before_c of the rows before; sorted and summed by ranges, so no task has all rows."""
+    at = stage(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "sorted").withColumn("_part", F.shiftright("_at", 33))
+    totals = at.groupBy("_part").agg(F.count("*").alias("_n"), *(F.sum(c).alias(f"_t_{c}") for c in sums))
+    ranges = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    totals = totals.select("_part", zero(F.sum("_n").over(ranges)).alias("_n"), *(zero(F.sum(f"_t_{c}").over(ranges)).alias(f"_t_{c}") for c in sums))
+    inside = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    out = at.join(totals, "_part").withColumn("_rank", F.col("_n") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    for c in sums:
+        out = out.withColumn(f"_before_{c}", F.col(f"_t_{c}") + zero(F.sum(c).over(inside)))
+    return out.drop("_at", "_part", "_n", *(f"_t_{c}" for c in sums))
+
+
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = CYCLE) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
     Sources in code point order, null last, weigh as ``cycle`` says; all share ``share`` times the total.  A target stops
     at ``most`` times its source's size, and the excess goes to the others by weight: target = min(cap, level * weight)
-    for the one level at which the targets add up.  One row a source: the windows run over that table only.
+    for the one level at which the targets add up.  However many sources there are, no task has them all.
     """
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    rank = (F.row_number().over(order) - 1) % len(cycle)
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*(F.lit(float(w)) for w in cycle)), rank + 1)).withColumn("cap", F.lit(most) * F.col("source_size"))
-    full = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    weighed = (
-        weighed.withColumn("budget", F.lit(share) * F.sum("source_size").over(everything))
-        .withColumn("capped", F.coalesce(F.sum("cap").over(full), F.lit(0.0)))
-        .withColumn("rest", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(full), F.lit(0.0)))
-    )
+    nulls = F.col("source").isNull()
+    ranked = _running(sizes, (nulls, "source"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in cycle)), (F.col("_rank") % len(cycle) + 1).cast("int"))
+    weighed = ranked.select("source", "source_size", weight.alias("weight"), (F.lit(most) * F.col("source_size")).alias("cap"))
+    weighed = stage(_running(weighed, (F.col("cap") / F.col("weight"), nulls, "source"), ("cap", "weight")), "weighed")
+    whole = weighed.agg((F.lit(share) * F.sum("source_size")).alias("budget"), F.sum("weight").alias("weights"))
     # The level if all sources before this one, by cap per weight, are at their caps; the first that it doesn't overflow counts.
-    weighed = weighed.withColumn("level", (F.col("budget") - F.col("capped")) / F.col("rest"))
-    fits = F.col("level") <= F.col("cap") / F.col("weight")
-    weighed = weighed.withColumn("found", F.max(F.when(fits, F.col("level"))).over(everything))
+    level = (F.col("budget") - F.col("_before_cap")) / (F.col("weights") - F.col("_before_weight"))
+    fits = weighed.join(F.broadcast(whole)).withColumn("level", level).where(F.col("level") <= F.col("cap") / F.col("weight"))
+    found = fits.agg(F.max("level").alias("found"))  # one row, as whole is
     target = F.least("cap", F.coalesce(F.col("found") * F.col("weight"), F.col("cap")))
-    return weighed.select("source", "source_size", F.round(target, 6).alias("target"))
+    return weighed.join(F.broadcast(found)).select("source", "source_size", F.round(target, 6).alias("target"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tuple[int, ...] = CYCLE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
