@@ -143,6 +143,21 @@ WITH RECURSIVE v AS (
 ), m AS (SELECT id, min(low) AS component_id FROM c GROUP BY id)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) ON a = vec_id
+""",
+    "op5_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL
+), t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS s FROM l
+), d AS (SELECT s, min({'d': doc_id, 'n': no}) AS first FROM t WHERE s <> '' GROUP BY s
+), v AS (SELECT s, first, i, s[:i - 1] || s[i + 1:] AS less FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM d WHERE len(s) >= 20)
+), p AS (
+  SELECT a.first AS x, b.first AS y FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.first < b.first
+  UNION SELECT least(a.first, b.first), greatest(a.first, b.first) FROM v a JOIN d b ON a.less = b.s AND len(b.s) >= 20
+), g AS (SELECT DISTINCT y FROM p
+), k AS (
+  SELECT t.doc_id, no, raw, t.s <> '' AND (first <> {'d': t.doc_id, 'n': no} OR y IS NOT NULL) AS gone FROM t LEFT JOIN d ON d.s = t.s LEFT JOIN g ON y = {'d': t.doc_id, 'n': no}
+), r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS left_over FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(left_over, '')) AS text_sha256 FROM documents LEFT JOIN r USING (doc_id)
 """,
     "op7_minhash": r"""
 WITH RECURSIVE d AS (
