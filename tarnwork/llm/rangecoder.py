@@ -24,10 +24,11 @@ import numpy as np
 MAGIC = b"TWS3"
 #: Ids of a block, ids of a lane where there are enough, and lanes at most.
 BLOCK, STEPS, LANES = 1 << 20, 256, 4096
-#: Predictions of order 1.
+#: Predictions of order 1; the update is written for two.
 ONE = 2
 _WHOLE = 28  # bits of the mixture
 _BASE = 22  # bits of the order-0 frequencies
+_COARSE = 8  # bits of a slot of them, in which the decoder looks first
 _TWO_BITS = 18
 #: The largest shares of each prediction, of 65536, so that a 64th of the whole and more is left for order 0.
 _MOST = [58982, 39321, 26214]
@@ -44,8 +45,8 @@ _CLASS = np.array([k if k < 5 else min(15, 2 * k.bit_length() + (k >> k.bit_leng
 class _Model:
     """What all lanes of a block have learned.  Where lanes of one step change the same entry, the last one's change stays."""
 
-    def __init__(self, lanes: int, size: int):
-        self.size = size
+    def __init__(self, lanes: int, size: int, decodes: bool = False):
+        self.size, self.decodes = size, decodes
         self.counts, self.seen = np.zeros(size, np.int64), 0
         self.base = np.zeros(size + 1, np.int64)
         # An entry is an id above eight bits of how firmly it prevails; -1 is none.
@@ -58,10 +59,14 @@ class _Model:
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, n: int, step: int) -> None:
-        self.learns = step % max(1, step >> 3) == 0
+        self.learns = step % max(1, step >> 2) == 0
         if self.learns:
             scale = (((1 << _BASE) - self.size) << 20) // max(1, self.seen)
             np.cumsum(1 + (self.counts * scale >> 20), out=self.base[1:])
+            if self.decodes:
+                # The last id that begins at or before each multiple of a slot's width.
+                ceil = self.base[:-1] + ((1 << _COARSE) - 1) >> _COARSE
+                self.coarse = np.cumsum(np.bincount(ceil, minlength=(1 << _BASE - _COARSE) + 2)) - 1
             self.shares = np.minimum((self.hits << 16) // self.tries, np.array(_MOST)[:, None])
         p1 = self.prev1[:n]
         self.at2 = (self.prev2[:n] * 40503 + p1 * 2654435761 >> 9) & (1 << _TWO_BITS) - 1
@@ -110,7 +115,13 @@ class _Model:
             rest -= w * beyond
             np.copyto(told, c, where=(w > 0) & (value >= start) & ~beyond)
         open_ = np.flatnonzero(told < 0)
-        told[open_] = np.minimum(self.base.searchsorted(((rest[open_] + 1 << _BASE) - 1) // self.left[open_], "right") - 1, self.size - 1)
+        at = ((rest[open_] + 1 << _BASE) - 1) // self.left[open_]
+        slot = np.minimum(at >> _COARSE, len(self.coarse) - 2)
+        plain = self.coarse.take(slot)
+        # Where ids begin within the slot, they are searched.
+        k = np.flatnonzero(plain != self.coarse.take(slot + 1))
+        plain[k] = self.base.searchsorted(at[k], "right") - 1
+        told[open_] = np.minimum(plain, self.size - 1)
         return told
 
     def update(self, n: int, ids: np.ndarray) -> None:
@@ -140,10 +151,11 @@ class _Model:
             self.one[p1[k], j - 1] = e + ((e & 255) < 255)
             missed &= ~hit[j]
         k = np.flatnonzero(missed)
-        firm = np.stack([np.where(e[k] < 0, -1, e[k] & 255) for e in self.entries[1:]])
-        worst = firm.argmin(0)
-        e = np.choose(worst, [e[k] for e in self.entries[1:]])
-        self.one[p1[k], worst] = np.where(firm.min(0) <= 0, fresh[k], e - 1)
+        a, b = self.entries[1][k], self.entries[2][k]
+        # An empty entry is -1, whose eight bits are the highest: it counts as the least.
+        second = (b < 0) | ((b & 255) < (a & 255)) & (a >= 0)
+        e = np.where(second, b, a)
+        self.one[p1[k], second.view(np.int8)] = np.where((e < 0) | ((e & 255) == 0), fresh[k], e - 1)
         self.prev2[:n] = p1
         self.prev1[:n] = ids
 
@@ -211,7 +223,7 @@ def decode_block(words: np.ndarray, counts: np.ndarray, n_ids: int, size: int) -
     every = np.arange(lanes)
     code = (word(every) << _32) | word(every)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
-    m = _Model(lanes, size)
+    m = _Model(lanes, size, decodes=True)
     out = np.zeros((steps, lanes), np.int64)
     for t in range(steps):
         n = lanes if t < steps - 1 else full
