@@ -18,7 +18,12 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give Python workers this package, whatever their working folder; once per application."""
+    """Give Python workers this package, whatever their working folder; once per application.
+
+    Arrow batches of whole texts hold 2000 rows instead of Spark's default, a fifth of the memory; a session's own setting stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
