@@ -88,6 +88,21 @@ def sliced(batches, column: int, rows: int = 1024, size: int = 4_000_000):
             end = max(start + 1, min(end, start + rows, batch.num_rows))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what a task's batches have taken; a worker waits for its next task beside the executor's own memory."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def text_of(name: str = "text") -> Column:
