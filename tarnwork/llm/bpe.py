@@ -70,7 +70,7 @@ class PairTable:
 class Encoder:
     """Ranks of a byte-level vocabulary: token bytes to id, lower merges first."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 150_000):
         import regex
 
         self.ranks, self.cache_size, self.cache = ranks, cache, {}
