@@ -70,7 +70,7 @@ class PairTable:
 class Encoder:
     """Ranks of a byte-level vocabulary: token bytes to id, lower merges first."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 220_000):
         import regex
 
         self.ranks, self.cache_size, self.cache = ranks, cache, {}
@@ -79,6 +79,7 @@ class Encoder:
         for token, k in ranks.items():
             self.vocab[k] = token
         self.decimal = [b"%d" % k for k in range(len(self.vocab))]
+        self.numbers = list(range(len(self.vocab)))  # one object an id, however many cached matches have it
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         found = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.pairs = PairTable(*np.array(found, np.int64).reshape(-1, 3).T)
@@ -157,7 +158,7 @@ class Encoder:
         for length in [n for n in by if n > LONG]:
             for m, raw in by.pop(length):
                 row = self.merge_long(raw)
-                self.cache[m] = (tuple(row), b",".join(map(self.decimal.__getitem__, row)))
+                self.cache[m] = (tuple(map(self.numbers.__getitem__, row)), b",".join(map(self.decimal.__getitem__, row)))
         for length, group in by.items():
             step = max(1, cells // length)
             for k in range(0, len(group), step):
@@ -165,7 +166,7 @@ class Encoder:
                 raw = np.frombuffer(b"".join(x[1] for x in part), np.uint8).reshape(len(part), length)
                 for rows, ids in self.merge(self.bytes[raw]):
                     for r, row in zip(rows.tolist(), ids.tolist(), strict=True):
-                        self.cache[part[r][0]] = (tuple(row), b",".join(map(self.decimal.__getitem__, row)))
+                        self.cache[part[r][0]] = (tuple(map(self.numbers.__getitem__, row)), b",".join(map(self.decimal.__getitem__, row)))
 
     def encode(self, texts: list[str]):
         """For each text a list with, for every match, its ids and their decimal form."""
