@@ -177,19 +177,17 @@ def _shrink(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode_block(ids: np.ndarray, size: int) -> list[np.ndarray]:
     """The words (32 bits) of each lane."""
     lanes, steps, full = _shape(len(ids))
-    table = np.zeros((steps, lanes), np.int64)
-    at = np.arange(len(ids))
     # The first lanes are one id longer than the others.
-    lane = np.where(at < full * steps, at // steps, full + (at - full * steps) // max(1, steps - 1))
-    begin = np.where(lane <= full, lane * steps, full * steps + (lane - full) * (steps - 1))
-    table[at - begin, lane] = ids
+    table = np.zeros((steps, lanes), np.int32)
+    table[:, :full] = ids[: full * steps].reshape(full, steps).T
+    table[: steps - 1, full:] = ids[full * steps :].reshape(lanes - full, steps - 1).T
     m = _Model(lanes, size)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     out = np.zeros((lanes, steps + 4), np.uint32)
     pos = np.zeros(lanes, np.int64)
     for t in range(steps):
         n = lanes if t < steps - 1 else full
-        sym = table[t, :n]
+        sym = table[t, :n].astype(np.int64)
         m.predict(n, t)
         start, width = m.interval(sym)
         a, b = low[:n], rng[:n]
@@ -224,7 +222,7 @@ def decode_block(words: np.ndarray, counts: np.ndarray, n_ids: int, size: int) -
     code = (word(every) << _32) | word(every)
     low, rng = np.zeros(lanes, _U), np.full(lanes, 2**64 - 1, _U)
     m = _Model(lanes, size, decodes=True)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     for t in range(steps):
         n = lanes if t < steps - 1 else full
         m.predict(n, t)
@@ -267,7 +265,7 @@ def unpack(data: bytes) -> np.ndarray:
     if data[:4] != MAGIC:
         raise ValueError("not a segment")
     n, top, blocks = struct.unpack_from("<QII", data, 4)
-    at, found = 20, [np.zeros(0, np.int64)]
+    at, found = 20, [np.zeros(0, np.int32)]
     for k in range(blocks):
         size, lanes, words, check = struct.unpack_from("<IIII", data, at)
         at += 16

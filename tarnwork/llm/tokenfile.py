@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -62,40 +63,50 @@ class WordEncoder:
         heads = pc.utf8_lower(pc.struct_field(found, "head").filter(simple)).dictionary_encode()
         tails = pc.struct_field(found, "tail").filter(simple).dictionary_encode()
         others = words.dictionary.filter(pc.invert(simple))
-        pieces = self.pieces(heads.dictionary.to_pylist(), tails.dictionary.to_pylist() + others.to_pylist())
-
-        # Each distinct word is two pieces; the last of all is the empty one.
-        pair = np.full((len(words.dictionary), 2), len(pieces), np.int32)
-        known, n_heads, n_tails = simple.to_numpy(zero_copy_only=False), len(heads.dictionary), len(tails.dictionary)
-        pair[known, 0] = heads.indices.to_numpy()
-        pair[known, 1] = tails.indices.to_numpy() + n_heads
-        pair[~known, 0] = np.arange(len(others)) + n_heads + n_tails
-        length = np.append(np.fromiter(map(len, pieces), np.int32, len(pieces)) // 4, np.int32(0))
-        start = np.cumsum(length, dtype=np.int64) - length
-        ids = np.frombuffer(b"".join(pieces), "<u4")
-        told = pair[words.indices.to_numpy()].ravel()
-        size = length[told]
-        ends = np.cumsum(size, dtype=np.int64)
-        whole = ids[np.repeat(start[told] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.append(0, ends)[2 * split.offsets.to_numpy()].tolist()
+        pieces = self.pieces(_strings(heads.dictionary), _strings(tails.dictionary) + _strings(others))
+
+        # A distinct word is letters and signs, or whole; words are put together once and then taken in the order of the texts.
+        raw, n_heads, n_tails = pa.array(pieces, pa.large_binary()), len(heads.dictionary), len(tails.dictionary)
+        both = pc.binary_join_element_wise(raw.slice(0, n_heads).take(heads.indices), raw.slice(n_heads, n_tails).take(tails.indices), pa.scalar(b"", pa.large_binary()))
+        place = np.empty(len(words.dictionary), np.int64)
+        known = simple.to_numpy(zero_copy_only=False)
+        place[known], place[~known] = np.arange(len(both)), np.arange(len(others)) + len(both)
+        taken = pa.chunked_array([both, raw.slice(n_heads + n_tails)]).combine_chunks().take(pa.array(place[words.indices.to_numpy()]))
+        _, ends, data = taken.buffers()
+        ends = np.frombuffer(ends, np.int64, len(taken) + 1, 8 * taken.offset)
+        whole = np.frombuffer(data or b"", "<u4", ends[-1] // 4)
+        bounds = (ends[split.offsets.to_numpy()] // 4).tolist()
         return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def pieces(self, heads: list[str], whole: list[str], step: int = 2000) -> list[bytes]:
         """Little-endian ids of lower-case letters, then of what needs the library whole."""
         if len(self.heads) + len(self.whole) + len(heads) + len(whole) > self.size:
             self.heads, self.whole = {}, {}
-        new = [w for w in heads if w not in self.heads]
-        for k in range(0, len(new), step):
-            some = new[k : k + step]
-            ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            self.heads.update(zip(some, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
-        new = [w for w in whole if w not in self.whole]
-        for k in range(0, len(new), step):
-            some = new[k : k + step]
-            found = self.library.encode_batch_fast(some, add_special_tokens=False)
-            self.whole.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in found), strict=True))
-        return [*map(self.heads.__getitem__, heads), *map(self.whole.__getitem__, whole)]
+        return [*_cached(self.heads, heads, self._letters, step), *_cached(self.whole, whole, self._others, step)]
+
+    def _letters(self, some: list[str]) -> Iterable[bytes]:
+        ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        return map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))
+
+    def _others(self, some: list[str]) -> Iterable[bytes]:
+        return (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False))
+
+
+def _cached(cache: dict[str, bytes], names: list[str], encode: Callable[[list[str]], Iterable[bytes]], step: int) -> list[bytes]:
+    """What ``cache`` holds of each name; what it lacks is encoded, ``step`` names at a time, and kept."""
+    found = list(map(cache.get, names))
+    new = [k for k, x in enumerate(found) if x is None]
+    for k in range(0, len(new), step):
+        some = new[k : k + step]
+        texts = [names[i] for i in some]
+        for at, name, x in zip(some, texts, encode(texts), strict=True):
+            found[at] = cache[name] = x
+    return found
+
+
+def _strings(column) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def _plain(text: str) -> str:
@@ -118,7 +129,7 @@ def _segment(ids: list[np.ndarray], names: list, id_bits: int) -> tuple[int, int
     lengths = np.array([len(x) for x in ids], "<u4")
     known = np.array([x is not None for x in names], np.uint8)
     head = zlib.compress(known.tobytes() + np.array([x or 0 for x in names], "<i8").tobytes() + lengths.tobytes(), 6)
-    body = rangecoder.pack(np.concatenate(ids).astype(np.int64), id_bits)
+    body = rangecoder.pack(np.concatenate(ids), id_bits)
     return len(ids), int(lengths.sum()), struct.pack("<QI", len(ids), len(head)) + head + body
 
 
