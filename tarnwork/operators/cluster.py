@@ -141,34 +141,113 @@ def _above(c: int, up: dict[int, int]) -> list[int]:
     return out
 
 
-def optics_labels(x: np.ndarray, min_samples: int = 5, max_eps: float = np.inf, xi_eps: float | None = None) -> np.ndarray:
-    """OPTICS ordering, cut at ``xi_eps`` (``max_eps`` by default): labels from 0, -1 for noise."""
+def _reachability(x: np.ndarray, min_samples: int, max_eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of visits, and by point: distance at which it was reached, from which point, and core distance."""
     n = len(x)
-    if not n:
-        return np.zeros(0, int)
-    x = np.asarray(x, float)
     dist = lambda i: np.sqrt(((x - x[i]) ** 2).sum(1))
-    core = np.array([np.sort(dist(i))[min_samples - 1] if n >= min_samples else np.inf for i in range(n)])
+    core = np.array([np.partition(dist(i), min_samples - 1)[min_samples - 1] if n >= min_samples else np.inf for i in range(n)])
     core[core > max_eps] = np.inf
-    reach, done, order = np.full(n, np.inf), np.zeros(n, bool), []
-    for start in range(n):
-        if done[start]:
+    reach, origin, done, order = np.full(n, np.inf), np.full(n, -1), np.zeros(n, bool), []
+    while len(order) < n:
+        # Of those waiting the nearest, where none waits the first that is left.
+        at = int(np.where(done, np.inf, reach).argmin())
+        if done[at] or not np.isfinite(reach[at]):
+            at = int(done.argmin())
+        done[at] = True
+        order.append(at)
+        if np.isfinite(core[at]):
+            d = dist(at)
+            new = np.maximum(d, core[at])
+            better = ~done & (d <= max_eps) & (new < reach)
+            reach[better], origin[better] = new[better], at
+    return np.array(order, int), reach, origin, core
+
+
+def _steep_end(steep: np.ndarray, against: np.ndarray, start: int, patience: int) -> int:
+    """The last steep place of the area that begins at ``start``: none goes against it, at most ``patience`` in a row aren't steep."""
+    end, idle = start, 0
+    for at in range(start, len(steep)):
+        if steep[at]:
+            end, idle = at, 0
+        elif against[at] or idle == patience:
+            break
+        else:
+            idle += 1
+    return end
+
+
+def _valleys(plot: np.ndarray, source: np.ndarray, xi: float, min_samples: int, min_size: int) -> list[tuple[int, int]]:
+    """First and last place of each cluster in a reachability plot, inner ones before outer ones.
+
+    A cluster lies between an area that falls steeply (by a share ``xi`` from one place to the next) and one that rises so,
+    and is lower than both its ends.  ``source`` is the place from which a place was reached: a cluster's last places go
+    that were reached from outside and stand higher than its first.
+    """
+    plot = np.append(plot, np.inf)
+    keep = 1 - xi
+    here, after = plot[:-1], plot[1:]
+    fall, rise = (here > after), (here < after)
+    steep_fall, steep_rise = fall & (after <= here * keep), rise & (here <= after * keep)
+    falls: list[list] = []  # first place, last place, highest place since
+    found, at, high = [], 0, 0.0
+    for start in np.flatnonzero(steep_fall | steep_rise):
+        if start < at:
             continue
-        at = start
-        while True:
-            done[at] = True
-            order.append(at)
-            if np.isfinite(core[at]):
-                d = dist(at)
-                new = np.maximum(d, core[at])
-                better = ~done & (d <= max_eps) & (new < reach)
-                reach[better] = new[better]
-            waiting = np.flatnonzero(~done & np.isfinite(reach))
-            if not len(waiting):
-                break
-            at = int(waiting[reach[waiting].argmin()])
-    cut = xi_eps if xi_eps is not None else (max_eps if np.isfinite(max_eps) else np.median(core[np.isfinite(core)]) * 2 if np.isfinite(core).any() else 0)
+        high = max(high, plot[at : start + 1].max())
+        falls = [[a, b, max(top, high)] for a, b, top in falls if high <= plot[a] * keep] if np.isfinite(high) else []
+        if steep_fall[start]:
+            end = _steep_end(steep_fall, rise, start, min_samples)
+            falls.append([start, end, 0.0])
+            at = end + 1
+            high = plot[at]
+            continue
+        end = _steep_end(steep_rise, fall, start, min_samples)
+        at = end + 1
+        high = plot[at]
+        here_found = []
+        for a, b, top in falls:
+            if plot[at] * keep < top:
+                continue
+            first, last = a, end
+            if plot[a] * keep >= plot[at]:  # falls from higher than it rises to: begins where the fall is as low
+                while plot[first + 1] > plot[at] and first < b:
+                    first += 1
+            elif plot[at] * keep >= plot[a]:  # rises higher: ends where the rise is as high
+                while last > start and plot[last - 1] > plot[a]:
+                    last -= 1
+            while last > first and plot[first] <= plot[last] and not first <= source[last] <= last:
+                last -= 1
+            if last > first and last - first + 1 >= min_size and first <= b and last >= start:
+                here_found.append((int(first), int(last)))
+        found += here_found[::-1]
+    return found
+
+
+def optics_labels(x: np.ndarray, min_samples: int = 5, max_eps: float = np.inf, cut: float | None = None, xi: float | None = None, min_cluster_size: int | None = None) -> np.ndarray:
+    """Labels from 0, -1 for noise, of the OPTICS plot: with ``xi`` its innermost valleys, else the plot cut at ``cut``.
+
+    ``cut`` is ``max_eps`` by default, or twice the median core distance where that has no bound.
+    """
+    n = len(x)
+    if not n:
+        return np.zeros(0, int)
+    if xi is not None and not 0 < xi < 1:
+        raise ValueError("xi lies between 0 and 1")
+    order, reach, origin, core = _reachability(np.asarray(x, float), min_samples, max_eps)
     out, label = np.full(n, -1), -1
+    if xi is not None:
+        place = np.empty(n, int)
+        place[order] = np.arange(n)
+        source = np.where(origin[order] < 0, -1, place[origin[order]])
+        for first, last in _valleys(reach[order], source, xi, min_samples, min_cluster_size or min_samples):
+            members = order[first : last + 1]
+            if (out[members] < 0).all():
+                label += 1
+                out[members] = label
+        return out
+    known = core[np.isfinite(core)]
+    if cut is None:
+        cut = max_eps if np.isfinite(max_eps) else np.median(known) * 2 if len(known) else 0
     for i in order:
         if reach[i] > cut:
             if core[i] <= cut:
@@ -200,7 +279,8 @@ def cluster(points: DataFrame, method: str = "hdbscan", keys: tuple[str, ...] =
     if method == "dbscan":
         return dbscan(points, eps, min_samples, keys)
     if method == "optics":
-        options |= {"min_samples": min_samples} | ({"max_eps": eps} if eps else {})
+        # Clusters are the plot's valleys; eps, which would cut it, says nothing of them.
+        options = {"xi": 0.05} | options | {"min_samples": min_samples}
     elif method == "hdbscan":
         options |= {"min_cluster_size": min_samples} | ({"epsilon": eps} if eps else {})
     else:

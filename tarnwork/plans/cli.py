@@ -5,18 +5,29 @@ from __future__ import annotations
 import argparse
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import conserve, sequence
-from ..sources import readers, sinks
+from ..sources import readers, sinks, trajectories
 from . import pipeline, post
-from .config import parse_analysis, parse_inputs
+from .config import Config, parse_analysis, parse_inputs
+
+
+def _atoms(spark: SparkSession, config: Config) -> DataFrame:
+    """Atoms of a run: a trajectory's frames, a dynamic run's own file, or all structures of the folder."""
+    inside = lambda name: name if "/" in name else f"{config.structure_directory.rstrip('/')}/{name}"
+    if config.structure_type == "dynamic" and config.trajectory_file:
+        return trajectories.trajectory(spark, inside(config.topology_file), inside(config.trajectory_file))
+    if config.structure_type == "dynamic" and config.topology_file:
+        name = inside(config.topology_file)
+        return (readers.gro if name.lower().endswith(".gro") else readers.pdb)(spark, name)
+    return readers.pdb(spark, config.structure_directory)
 
 
 def run_inputs(spark: SparkSession, text: str, name: str, out: str = "tarnwork_output") -> dict:
     config = parse_inputs(text)
-    atoms = readers.pdb(spark, config.structure_directory)
+    atoms = _atoms(spark, config)
     msa = None
     if config.msa_indexing and config.alignment_file:
         aligned = readers.pir(spark, config.alignment_file)

@@ -13,6 +13,8 @@ _ALIASES = {"concatemate": "concatenate", "multi_model": "multi_model_pdb"}
 class Config:
     structure_type: str = "static"
     structure_directory: str = "."
+    topology_file: str | None = None
+    trajectory_file: str | None = None
     network_type: str = "water-protein"
     include_hydrogens: bool = False
     water_name: str | None = None
@@ -51,6 +53,8 @@ class Config:
             raise ValueError("structure_type is static or dynamic")
         if self.structure_type == "static" and self.multi_model_pdb:
             raise ValueError("multi-model files are dynamic")
+        if self.structure_type == "dynamic" and self.trajectory_file and not self.topology_file:
+            raise ValueError("a trajectory needs a topology")
         if self.clustering_method not in ("hdbscan", "dbscan", "optics"):
             raise ValueError("clustering_method is hdbscan, dbscan or optics")
         if self.clustering_method == "dbscan" and self.cluster_coordinates and not self.eps:
