@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,28 +39,169 @@ def centers(labelled: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return labelled.where("label >= 0").groupBy(*keys, "label").agg(*(F.avg(a).alias(a) for a in "xyz"), F.count("*").alias("n"))
 
 
+def _cells(x: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each point's cell as a number, and by how much it grows along each axis; told by at most the first three columns.
+
+    Cells are at least as wide as ``r``, and no more than 2 ** 20 along an axis.
+    """
+    x = x[:, :3]
+    low = x.min(0)
+    cell = np.floor((x - low) / np.maximum(r * (1 + 1e-9), (x.max(0) - low) / (1 << 20))).astype(np.int64) + 1
+    scale = np.cumprod(np.r_[1, (cell.max(0) + 2)[:0:-1]])[::-1]
+    return cell @ scale, scale
+
+
+def _spacing(x: np.ndarray) -> float:
+    """A radius whose cells hold few points each, where points stand densest as well."""
+    span = (x.max(0) - x.min(0))[:3]
+    wide = span[span > 0]
+    if not len(wide):
+        return 1.0
+    r = float(np.exp(np.log(wide / len(x) ** (1 / len(wide))).mean()))
+    while r > wide.max() / (1 << 20) and (np.unique(_cells(x, r)[0], return_counts=True)[1].astype(float) ** 2).sum() > 16 * len(x):
+        r /= 2
+    return r
+
+
+def _near_pairs(x: np.ndarray, ask: np.ndarray, r: float, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of all pairs not farther apart than ``r`` with i in ``ask``, i itself included, some i at a time."""
+    key, scale = _cells(x, r)
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    # Cells next to each other on the last axis have following keys, so three of them are one range.
+    shifts = np.array(list(itertools.product((-1, 0, 1), repeat=len(scale) - 1)), np.int64).reshape(3 ** (len(scale) - 1), -1) @ scale[:-1]
+    lo = ranked.searchsorted((key[ask][:, None] + shifts - 1).ravel())
+    sizes = ranked.searchsorted((key[ask][:, None] + shifts + 1).ravel(), "right") - lo
+    who, ends = np.repeat(ask, len(shifts)), np.cumsum(sizes)
+    each = len(shifts)
+    at = 0
+    while at < len(who):
+        # Whole points, so that one's pairs come together.
+        to = max(int(ends.searchsorted((ends[at - 1] if at else 0) + step)) // each * each, at + each)
+        n = sizes[at:to]
+        i = np.repeat(who[at:to], n)
+        j = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:to], n)]
+        d = np.sqrt(((x[i] - x[j]) ** 2).sum(1))
+        k = np.flatnonzero(d <= r)
+        yield i[k], j[k], d[k]
+        at = to
+
+
+def _core(x: np.ndarray, copies: np.ndarray, k: int, r: float) -> np.ndarray:
+    """Distance to the k-th nearest, a point itself and its copies included, by radii that double where they held too few."""
+    core, ask = np.zeros(len(x)), np.flatnonzero(copies < k)
+    while len(ask):
+        for i, j, d in _near_pairs(x, ask, r):
+            at = np.lexsort((d, i))
+            i, d, n = i[at], d[at], np.cumsum(copies[j[at]])
+            start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            before = np.repeat(np.r_[0, n[start[1:] - 1]], np.diff(np.r_[start, len(i)]))
+            reached = np.flatnonzero(n - before >= k)
+            first = reached[np.r_[True, i[reached][1:] != i[reached][:-1]]] if len(reached) else reached
+            core[i[first]] = d[first]
+        ask, r = ask[core[ask] == 0], 2 * r
+    return core
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the labelled sets that edges (a, b) connect are made one."""
+    a, b = label[a], label[b]
+    while len(a):
+        high, low = np.maximum(a, b), np.minimum(a, b)
+        root = np.arange(len(label))
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+        label, a, b = root[label], root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    return label
+
+
+def _links(x: np.ndarray, core: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (a, b, mutual reachability distance) among which are all that any minimum spanning tree may have.
+
+    By growing radii: an edge of a tree that is longer than a radius connects sets that shorter edges don't, so each
+    radius is asked only of points outside the largest set, and only pairs of different sets are kept.  A radius that
+    would keep many pairs a point is brought nearer to the one before.
+    """
+    label, found, done, most = np.arange(len(x)), [], 0.0, max(1 << 21, 16 * len(x))
+    while label.any():
+        sizes = np.bincount(label)
+        largest = sizes.argmax() if done else -1
+        some, held = [], 0
+        for i, j, d in _near_pairs(x, np.flatnonzero(label != largest), r):
+            w = np.maximum(np.maximum(d, core[i]), core[j])
+            # Pairs of two points that are both asked come twice.
+            k = np.flatnonzero((w <= r) & (label[i] != label[j]) & ((label[j] == largest) | (i < j)))
+            some.append((i[k], j[k], w[k]))
+            held += len(k)
+            if held > most and r - done > 1e-6 * r:
+                break
+        else:
+            found += some
+            for i, j, _ in some:
+                label = _merge(label, i, j)
+            done, r = r, 2 * r
+            continue
+        r = done + (r - done) / 2
+    return tuple(np.concatenate([f[c] for f in found] or [np.zeros(0, int if c < 2 else float)]) for c in range(3))
+
+
 def _tree(x: np.ndarray, k: int) -> np.ndarray:
-    """Minimum spanning tree of mutual reachability distances, by Prim's method: rows (a, b, distance), ascending."""
-    n = len(x)
-    core = np.array([np.partition(np.sqrt(((x - p) ** 2).sum(1)), min(k, n) - 1)[min(k, n) - 1] for p in x])
-    best, link, done = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool)
-    at, out = 0, []
-    for _ in range(n - 1):
-        done[at] = True
-        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
-        closer = ~done & (d < best)
-        best[closer], link[closer] = d[closer], at
-        at = int(np.where(done, np.inf, best).argmin())
-        out.append((link[at], at, best[at]))
+    """Minimum spanning tree of mutual reachability distances, by Prim's method: rows (a, b, distance), ascending.
+
+    Of several points as near, the one with the least number comes next, from the first that was as near.  Copies of a
+    point are one place; the method goes along the places' links in a heap instead of comparing all points at each step.
+    """
+    places, first, place, copies = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    place, k = place.ravel(), min(k, len(x))
+    r = _spacing(places)
+    core = _core(places, copies, k, r)
+    a, b, w = _links(places, core, max(r, float(np.median(core))))
+    ends = np.r_[a, b]
+    order = np.argsort(ends, kind="stable")
+    to, weight, bounds = np.r_[b, a][order], np.r_[w, w][order], np.searchsorted(ends[order], np.arange(len(places) + 1))
+    members = np.split(np.argsort(place, kind="stable"), np.cumsum(copies)[:-1]) if len(places) < len(x) else None
+    best, link, seen, out = np.full(len(places), np.inf), np.zeros(len(places), int), np.zeros(len(places), bool), []
+    heap: list[tuple[float, int, int]] = []
+    at = 0
+    while True:
+        here = place[at]
+        if not seen[here]:
+            seen[here] = True
+            if copies[here] > 1:
+                via = at if core[here] < best[here] else link[here]
+                for other in members[here][1:].tolist():
+                    heapq.heappush(heap, (float(core[here]), other, int(via)))
+            lo, hi = bounds[here], bounds[here + 1]
+            near, d = to[lo:hi], weight[lo:hi]
+            closer = ~seen[near] & (d < best[near])
+            near, d = near[closer], d[closer]
+            best[near], link[near] = d, at
+            for entry in zip(d.tolist(), first[near].tolist(), itertools.repeat(at)):
+                heapq.heappush(heap, entry)
+        # A place is reached once, each of its copies once.
+        while heap and heap[0][1] == first[place[heap[0][1]]] and seen[place[heap[0][1]]]:
+            heapq.heappop(heap)
+        if not heap:
+            break
+        d, at, before = heapq.heappop(heap)
+        out.append((before, at, d))
     return np.array(sorted(out, key=lambda e: (e[2], e[0], e[1])), float).reshape(-1, 3)
 
 
 def hdbscan_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int | None = None, epsilon: float = 0.0) -> np.ndarray:
     """Labels from 0, -1 for noise: single linkage on mutual reachability, condensed, chosen by excess of mass."""
-    n = len(x)
+    x = np.asarray(x, float)
+    n, fine = len(x), np.isfinite(x).all(1)
+    if not fine.all():  # at no distance to any other
+        out = np.full(n, -1)
+        out[fine] = hdbscan_labels(x[fine], min_cluster_size, min_samples, epsilon)
+        return out
     if n < max(2, min_cluster_size):
         return np.full(n, -1)
-    tree = _tree(np.asarray(x, float), min_samples or min_cluster_size)
+    tree = _tree(x, min_samples or min_cluster_size)
     parent, size, children = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), {}
 
     def find(i: int) -> int:
@@ -107,18 +252,21 @@ def hdbscan_labels(x: np.ndarray, min_cluster_size: int = 5, min_samples: int |
                 stack.append((big[0], cluster))
     chosen: set[int] = set()
     value: dict[int, float] = {}
+    best: set[int] = set()
     for c in sorted(birth, key=lambda c: c):  # children have smaller numbers than parents
         inner = sum(value[b] for b in below[c])
         if c != root and (not below[c] or stable[c] >= inner):
             value[c] = stable[c]
-            drop = [*below[c]]
-            while drop:
-                v = drop.pop()
-                chosen.discard(v)
-                drop.extend(below[v])
-            chosen.add(c)
+            best.add(c)
         else:
             value[c] = inner
+    pending = [root]
+    while pending:  # the outermost that outweigh what is below them
+        c = pending.pop()
+        if c in best:
+            chosen.add(c)
+        else:
+            pending.extend(below[c])
     if epsilon > 0:  # clusters born nearer than epsilon give way to the ancestor that isn't
         up = {b: c for c in below for b in below[c]}
         raised = set()

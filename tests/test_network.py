@@ -103,6 +103,48 @@ def test_clusterings():
         assert all(len(set(labels[k : k + 20])) == 1 for k in (0, 20, 40))
 
 
+def prim(x, k):
+    """The spanning tree by comparing all points at each step."""
+    n = len(x)
+    core = np.array([np.sort(np.sqrt(((x - p) ** 2).sum(1)))[min(k, n) - 1] for p in x])
+    best, link, done, at, out = np.full(n, np.inf), np.zeros(n, int), np.zeros(n, bool), 0, []
+    for _ in range(n - 1):
+        done[at] = True
+        d = np.maximum(np.maximum(np.sqrt(((x - x[at]) ** 2).sum(1)), core), core[at])
+        closer = ~done & (d < best)
+        best[closer], link[closer] = d[closer], at
+        at = int(np.where(done, np.inf, best).argmin())
+        out.append((link[at], at, best[at]))
+    return sorted(out, key=lambda e: (e[2], e[0], e[1]))
+
+
+@pytest.mark.parametrize("columns", [1, 2, 3, 5])
+def test_spanning_tree(columns):
+    rng = np.random.default_rng(columns)
+    shape = (150, columns)
+    sets = [rng.normal(0, 3, shape), rng.integers(0, 4, shape), rng.normal(0, 0.1, shape) + 1000 * rng.integers(0, 3, (150, 1)), np.ones(shape), np.round(rng.standard_cauchy(shape), 1), rng.normal(0, 3, shape)[:2]]
+    for x in sets:
+        for k in (1, 3, 10):
+            assert cluster._tree(x.astype(float), k).tolist() == [list(map(float, e)) for e in prim(x.astype(float), k)]
+
+
+def test_hdbscan_of_many_points(monkeypatch):
+    x = np.round(np.random.default_rng(1).uniform(0, 180, (20_000, 2)), 4)
+    compared, near = [0], cluster._near_pairs
+
+    def counted(*args):
+        for found in near(*args):
+            compared[0] += len(found[0])
+            yield found
+
+    monkeypatch.setattr(cluster, "_near_pairs", counted)
+    labels = cluster.hdbscan_labels(x, 3)
+    assert 0 < compared[0] < 100 * len(x) and labels.max() > 1000
+    # Points without a place are noise and change nothing else.
+    some = cluster.hdbscan_labels(np.vstack([x[:500], [[np.nan, 1.0], [np.inf, 2.0]]]), 3)
+    assert some[-2:].tolist() == [-1, -1] and (some[:-2] == cluster.hdbscan_labels(x[:500], 3)).all()
+
+
 def test_selection(spark, eight):
     assert parse("not resid 3 and name O* or protein") == ("or", ("and", ("not", ("resid", ("3",))), ("name", ("O*",))), ("protein",))
     assert {r["serial"] for r in select(eight, "resid 3 6-9").collect()} == {1, 4, 7}
