@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,12 +117,14 @@ def component_sizes(labels: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFram
 def distances(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS, directed: bool = False, sources: DataFrame | None = None) -> DataFrame:
     """(keys, src, dst, d, prev): shortest path lengths from ``sources`` (all nodes), the start included with d = 0.
 
-    Breadth first: each round extends only the last round's frontier.  prev is the smallest predecessor, which makes
-    paths deterministic.
+    Breadth first; prev is the smallest predecessor, which makes paths deterministic.  From all nodes, tasks search
+    (:func:`_searches`); from ``sources`` each round extends the last round's frontier by a join.
     """
+    if sources is None:
+        return _searches(nodes, edges, keys, directed)
     e = edges.where("src <> dst").select(*keys, "src", "dst").distinct() if directed else _both(edges, keys)
     e = stage(e.select(*keys, F.col("src").alias("mid"), F.col("dst").alias("to")))
-    start = (sources or nodes).select(*keys, "id").distinct()
+    start = sources.select(*keys, "id").distinct()
     seen = stage(start.select(*keys, F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0).alias("d"), F.lit(None).cast(start.schema["id"].dataType).alias("prev")))
     frontier, found, d = seen, [seen], 0
     while True:
@@ -134,6 +139,122 @@ def distances(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = KEYS,
     return reduce(DataFrame.unionAll, found)
 
 
+def _levels(src: np.ndarray, dst: np.ndarray, own: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Level by level the (lane, node, smallest predecessor) that searches from nodes ``own``, a lane each, newly reach.
+
+    The searches advance together as bits of machine words.  ``src`` ascends within the edges to one ``dst``, so an
+    edge's bits that no edge before it had tell what it is the smallest predecessor of.
+    """
+    first = np.flatnonzero(np.r_[True, dst[1:] != dst[:-1]])
+    degree = np.diff(np.r_[first, len(dst)])
+    by_degree = np.argsort(-degree, kind="stable")
+    first, degree = first[by_degree], degree[by_degree]
+    ends, deeper = dst[first], np.searchsorted(-degree, -np.arange(degree[0]), "left")
+    lane = np.arange(len(own))
+    front = np.zeros((n, -(-len(own) // 64)), np.uint64)
+    front[own, lane // 64] = np.uint64(1) << (lane % 64).astype(np.uint64)
+    left = ~front[ends]  # what each node with edges to it still waits for
+    while True:
+        after, found = np.zeros_like(front), []
+        for k, m in enumerate(deeper):
+            edge = first[:m] + k
+            hit = front[src[edge]] & left[:m]
+            left[:m] ^= hit
+            after[ends[:m]] |= hit
+            at, word = np.nonzero(hit)
+            which, bit = np.nonzero(np.unpackbits(hit[at, word].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+            at = at[which]
+            found.append((word[which] * 64 + bit, ends[at], src[edge[at]]))
+        reached = tuple(np.concatenate(column) for column in zip(*found, strict=True))
+        # Bits beyond the last lane are never set.
+        if not len(reached[0]):
+            return
+        yield reached
+        front = after
+
+
+def _searches(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...], directed: bool = False, paths: bool = False, separator: str | None = None, target: int | None = None, sources: int = 512) -> DataFrame:
+    """Shortest paths from all nodes: (keys, src, dst, d, prev), or with ``paths`` (keys, src, dst, path).
+
+    A task has a component's edges and ``sources`` of its nodes (fewer, down to 64, in components of over 8,000), and
+    gives rows level by level, so it holds two levels.
+    A path is a list of ids, or with ``separator`` their text; only paths to ``target`` are given where there is one.
+    """
+    e = edges.where("src <> dst").select(*keys, "src", "dst").distinct() if directed else _both(edges, keys)
+    e = stage(e)
+    start = stage(nodes.select(*keys, "id").distinct())
+    kind = start.schema["id"].dataType
+    ends = e.select(*keys, F.col("src").alias("id")).union(e.select(*keys, F.col("dst").alias("id")))
+    label = components(start.union(ends).distinct(), e, keys)
+    # A node to start from is an edge to itself.
+    loops = start.join(label, [*keys, "id"]).select(*keys, "component", F.col("id").alias("src"), F.col("id").alias("dst"))
+    inside = e.join(label.withColumnRenamed("id", "src"), [*keys, "src"]).select(*keys, "component", "src", "dst")
+    busy = inside.select(*keys, "component").distinct()
+    deals = loops.join(busy, [*keys, "component"], "left_semi").groupBy(*keys, "component").agg(F.count("*").alias("size"))
+    lanes = F.least(F.lit(sources), F.greatest(F.lit(64), F.floor(F.lit(8000 * sources) / F.col("size")))).cast("int")
+    deals = deals.withColumn("lanes", lanes).select(*keys, "component", "lanes", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / F.col("lanes")).cast("int"))).alias("deal"))
+    on = [*keys, "component", "lanes", "deal"]
+    rows = inside.union(loops).join(deals, [*keys, "component"]).select(*on, "src", "dst")
+    # The number of tasks is given: a deal is little to read and much to do.
+    rows = rows.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *on)
+    n_keys = len(keys)
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        src, dst = (table.column(c).combine_chunks() for c in ("src", "dst"))
+        type_ = src.type
+        names, at = np.unique(np.r_[src.to_numpy(zero_copy_only=False), dst.to_numpy(zero_copy_only=False)], return_inverse=True)
+        src, dst = at.reshape(2, -1)
+        loop = src == dst
+        own = np.sort(src[loop])[key[-1].as_py() * key[-2].as_py() :][: key[-2].as_py()]
+        order = np.lexsort((src[~loop], dst[~loop]))
+        names = pa.array(names, type_)
+        texts = names.cast(pa.string()) if separator is not None else None
+
+        def batch(n, lane, *columns):
+            columns = [*(pa.repeat(k, n) for k in key[:n_keys]), names.take(pa.array(own[lane])), *columns]
+            return pa.RecordBatch.from_arrays(columns, names=out_names)
+
+        if paths:
+            place = np.zeros((len(names), len(own)), np.int32)
+            place[own, np.arange(len(own))] = np.arange(len(own))
+            way = texts.take(pa.array(own)) if texts is not None else own.astype(np.int32)[:, None]
+        for step, (lane, node, before) in enumerate(_levels(src[~loop][order], dst[~loop][order], own, len(names)), 1):
+            if paths:
+                parent = place[before, lane]
+                place[node, lane] = np.arange(len(node))
+                if texts is not None:
+                    way = pc.binary_join_element_wise(way.take(pa.array(parent)), texts.take(pa.array(node)), separator)
+                else:
+                    way = np.column_stack([way[parent], node.astype(np.int32)])
+            for a in range(0, len(node), 1 << 16):
+                some = slice(a, a + (1 << 16))
+                at_lane, at_node, at_before = lane[some], node[some], before[some]
+                if not paths:
+                    yield batch(len(at_node), at_lane, names.take(pa.array(at_node)), pa.repeat(pa.scalar(step, pa.int32()), len(at_node)), names.take(pa.array(at_before)))
+                    continue
+                part = way[some] if texts is None else way.slice(a, 1 << 16)
+                dst_ids = names.take(pa.array(at_node))
+                if target is not None:
+                    wanted = pc.equal(dst_ids, pa.scalar(target, type_))
+                    k = np.flatnonzero(wanted.to_numpy(zero_copy_only=False))
+                    part, dst_ids, at_lane = (part[k] if texts is None else part.take(pa.array(k))), dst_ids.take(pa.array(k)), at_lane[k]
+                if texts is None:
+                    part = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (step + 1)), names.take(pa.array(part.ravel())))
+                yield batch(len(dst_ids), at_lane, dst_ids, part)
+
+    id_type = kind.simpleString()
+    tail = {"path": "string" if separator is not None else f"array<{id_type}>"} if paths else {"d": "int", "prev": id_type}
+    types = {c: start.schema[c].dataType.simpleString() for c in keys} | {"src": id_type, "dst": id_type} | tail
+    out_names = list(types)
+    found = rows.groupBy(*on).applyInArrow(run, ", ".join(f"`{c}` {t}" for c, t in types.items()))
+    i = F.col("id")
+    if target is not None:
+        start = start.where(i == target)
+    own = (i.cast("string") if separator is not None else F.array(i),) if paths else (F.lit(0), F.lit(None).cast(kind))
+    return start.select(*keys, i.alias("src"), i.alias("dst"), *(c.alias(name) for c, name in zip(own, tail, strict=True))).unionAll(found)
+
+
 def _path_totals(edges: DataFrame, label: DataFrame, keys: tuple[str, ...], sources: int = 512) -> DataFrame:
     """(keys, component, total): the sum of all shortest path lengths within each component.
 

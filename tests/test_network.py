@@ -87,6 +87,52 @@ def test_paths_and_directed(spark):
     assert {r["id"]: r["component"] for r in graph.components(n, e, ("k",)).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4}
 
 
+def random_graph(spark):
+    """Nodes and edges of two keys: a hub, isolated nodes, small sets, edge ends that are no nodes, repeated and own edges."""
+    rng = np.random.default_rng(7)
+    e = {("s", int(a) * 3, int(b) * 3) for a, b in rng.integers(0, 90, (150, 2))} | {("s", 600, 3 * k) for k in range(20)} | {("t", k, k + 1) for k in range(70)} | {("t", 500, 501)}
+    n = [("s", 3 * k) for k in range(210)] + [("t", k) for k in range(71) if k != 40] + [("t", 500), ("t", 501), ("t", 501)]
+    return n, sorted(e), spark.createDataFrame(n, "k string, id long"), spark.createDataFrame(sorted(e) + sorted(e)[:9], "k string, src long, dst long")
+
+
+def walks(n, e, directed):
+    """(key, src, dst) -> path with the smallest predecessor at each step, by a search from each node."""
+    near = {}
+    for k, a, b in e:
+        if a != b:
+            near.setdefault((k, a), set()).add(b)
+            if not directed:
+                near.setdefault((k, b), set()).add(a)
+    out = {}
+    for k, i in set(n):
+        paths, front = {i: [i]}, [i]
+        while front:
+            before = {}
+            for u in sorted(front, reverse=True):
+                before |= {v: u for v in near.get((k, u), ()) if v not in paths}
+            paths |= {v: [*paths[u], v] for v, u in before.items()}
+            front = list(before)
+        out |= {(k, i, v): p for v, p in paths.items()}
+    return out
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_lengths_of_all_pairs(spark, monkeypatch, directed):
+    n, e, nodes, edges = random_graph(spark)
+    want = walks(n, e, directed)
+    staged, stage = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df: staged.append(1) or stage(df))
+    found = graph._searches(nodes, edges, ("k",), directed, sources=64).collect()
+    rows = graph.distances(nodes, edges, ("k",), directed).collect()
+    # A path of 70 steps doesn't take a staged join each.
+    assert len(staged) < 40
+    for got in (found, rows):
+        assert len(got) == len(want)
+        assert {(r["k"], r["src"], r["dst"]): (r["d"], r["prev"]) for r in got} == {x: (len(p) - 1, p[-2] if len(p) > 1 else None) for x, p in want.items()}
+    some = graph.distances(nodes, edges, ("k",), directed, nodes.where("id in (600, 501)")).collect()
+    assert {(r["k"], r["src"], r["dst"]): r["d"] for r in some} == {x: len(p) - 1 for x, p in want.items() if x[1] in (600, 501)}
+
+
 def test_empty_inputs(spark):
     _, df = points(spark, 0, 1)
     edges = network.edges(network.undirected(df))
