@@ -172,7 +172,7 @@ r(structure_id, src, dst, cur, path) AS (SELECT structure_id, src, dst, dst, dst
 SELECT structure_id, src, dst, path FROM r WHERE cur = src""")
 def shortest_paths(spark, sf_dir):
     n, e = _net(spark, sf_dir)
-    return graph.shortest_path(e, n, keys=SID).select("structure_id", "src", "dst", F.array_join("path", "-").alias("path"))
+    return graph.shortest_path(e, n, keys=SID, separator="-").select("structure_id", "src", "dst", "path")
 
 
 @query(f"""WITH RECURSIVE {S}, {WW}, {E_}, {B_}, {BFS}, {CC}, z AS (SELECT structure_id, component, count(*) AS size FROM m GROUP BY 1, 2),

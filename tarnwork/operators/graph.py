@@ -304,9 +304,14 @@ def characteristic_path_length(nodes: DataFrame, edges: DataFrame, keys: tuple[s
     return each.groupBy(*keys).agg(F.avg("mean").alias("cpl"))
 
 
-def shortest_path(edges: DataFrame, nodes: DataFrame, source: int | None = None, target: int | None = None, keys: tuple[str, ...] = KEYS, directed: bool = False) -> DataFrame:
-    """(keys, src, dst, path): node lists of shortest paths, for all pairs, one source, one target, or one pair."""
-    starts = nodes.where(F.col("id") == source) if source is not None else nodes
+def shortest_path(edges: DataFrame, nodes: DataFrame, source: int | None = None, target: int | None = None, keys: tuple[str, ...] = KEYS, directed: bool = False, separator: str | None = None) -> DataFrame:
+    """(keys, src, dst, path): node lists of shortest paths, for all pairs, one source, one target, or one pair.
+
+    With ``separator`` a path is the text of its ids, joined.
+    """
+    if source is None:
+        return _searches(nodes, edges, keys, directed, True, separator, target)
+    starts = nodes.where(F.col("id") == source)
     d = stage(distances(nodes, edges, keys, directed, starts))
     rows = d.where(F.col("dst") == target) if target is not None else d
     rows = rows.select(*keys, "src", "dst", "prev", F.array("dst").alias("path"))
@@ -314,7 +319,8 @@ def shortest_path(edges: DataFrame, nodes: DataFrame, source: int | None = None,
     while True:
         rows = stage(rows)
         if rows.where("prev is not null").isEmpty():
-            return rows.drop("prev")
+            rows = rows.drop("prev")
+            return rows if separator is None else rows.withColumn("path", F.array_join("path", separator))
         rows = rows.join(back, [*keys, "src", "prev"], "left").select(*keys, "src", "dst", F.col("before").alias("prev"), F.when(F.col("prev").isNotNull(), F.concat(F.array("prev"), "path")).otherwise(F.col("path")).alias("path"))
 
 

@@ -133,6 +133,22 @@ def test_lengths_of_all_pairs(spark, monkeypatch, directed):
     assert {(r["k"], r["src"], r["dst"]): r["d"] for r in some} == {x: len(p) - 1 for x, p in want.items() if x[1] in (600, 501)}
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_paths_of_all_pairs(spark, monkeypatch, directed):
+    n, e, nodes, edges = random_graph(spark)
+    want = walks(n, e, directed)
+    staged, stage = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df: staged.append(1) or stage(df))
+    got = graph.shortest_path(edges, nodes, keys=("k",), directed=directed).collect()
+    assert len(staged) < 20 and len(got) == len(want) and {(r["k"], r["src"], r["dst"]): r["path"] for r in got} == want
+    for options in ({"target": 9}, {"source": 600}) if directed else ({}, {"source": 600, "target": 12}):
+        got = graph.shortest_path(edges, nodes, keys=("k",), directed=directed, separator="-", **options).collect()
+        wanted = {x: "-".join(map(str, p)) for x, p in want.items() if options.get("source", x[1]) == x[1] and options.get("target", x[2]) == x[2]}
+        assert len(got) == len(wanted) and {(r["k"], r["src"], r["dst"]): r["path"] for r in got} == wanted
+    got = graph.shortest_path(edges, nodes, target=9, keys=("k",), directed=directed).collect()
+    assert {(r["k"], r["src"], r["dst"]): r["path"] for r in got} == {x: p for x, p in want.items() if x[2] == 9}
+
+
 def test_empty_inputs(spark):
     _, df = points(spark, 0, 1)
     edges = network.edges(network.undirected(df))
