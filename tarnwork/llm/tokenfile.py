@@ -36,20 +36,20 @@ class WordEncoder:
     The vocabularies' splitters never match across blanks, so a text's ids are those of its blank-separated words in
     turn.  The strings of special tokens have no blanks and letters between signs, so a word with one goes through the
     library whole and becomes that token.  Distinct words of plain letters, with or without signs behind them, are lower-cased and split into letters
-    and signs; letters go to the library many at a time, without its normaliser, where a piece's last id is one that ends
-    a word.  All other words, and signs, go through the library whole.  About ``cache`` pieces are remembered.  Words are
+    and signs; letters go to the library's model at once, as the characters that its byte level writes for their bytes.
+    All other words, and signs, go through the library whole.  About ``cache`` pieces are remembered.  Words are
     split and counted as Arrow columns, and their ids gathered with numpy, so Python sees distinct pieces only.
     """
 
     def __init__(self, path: str, cache: int = 600_000):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.letters.normalizer = None
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocab = self.library.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[k for token, k in vocab.items() if token.endswith("</w>")]] = True
+        self.library = Tokenizer.from_file(path)
+        self.model, level = self.library.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # Characters of bytes of letters that are not the Latin-1 ones.
+        self.written = {}
+        for c in map(str.lower, map(chr, range(0xC0, 0x100))):
+            self.written |= {a: b for a, b in zip(_bytes(c), level.pre_tokenize_str(c)[0][0], strict=True) if a != b}
         self.size, self.heads, self.whole = cache, {}, {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -78,31 +78,47 @@ class WordEncoder:
         bounds = (ends[split.offsets.to_numpy()] // 4).tolist()
         return [whole[a:b] for a, b in zip(bounds, bounds[1:])]
 
-    def pieces(self, heads: list[str], whole: list[str], step: int = 2000) -> list[bytes]:
+    def pieces(self, heads: list[str], whole: list[str]) -> list[bytes]:
         """Little-endian ids of lower-case letters, then of what needs the library whole."""
         if len(self.heads) + len(self.whole) + len(heads) + len(whole) > self.size:
             self.heads, self.whole = {}, {}
-        return [*_cached(self.heads, heads, self._letters, step), *_cached(self.whole, whole, self._others, step)]
-
-    def _letters(self, some: list[str]) -> Iterable[bytes]:
-        ids = np.array(self.letters.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        return map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))
-
-    def _others(self, some: list[str]) -> Iterable[bytes]:
-        return (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(some, add_special_tokens=False))
-
-
-def _cached(cache: dict[str, bytes], names: list[str], encode: Callable[[list[str]], Iterable[bytes]], step: int) -> list[bytes]:
-    """What ``cache`` holds of each name; what it lacks is encoded, ``step`` names at a time, and kept."""
+        return [*_cached(self.heads, heads, self._letters), *_cached(self.whole, whole, self._others)]
+
+    def _letters(self, some: list[str], step: int = 2000) -> Iterable[bytes]:
+        encode = self.model.tokenize
+        for k in range(0, len(some), step):
+            joined = _bytes(" ".join(some[k : k + step]))
+            if not joined.isascii():
+                for byte, character in self.written.items():
+                    joined = joined.replace(byte, character)
+            ids, stops = [], [0]
+            for word in joined.split(" "):
+                ids += [token.id for token in encode(word)]
+                stops.append(4 * len(ids))
+            data = np.array(ids, "<u4").tobytes()
+            yield from (data[a:b] for a, b in zip(stops, stops[1:]))
+
+    def _others(self, some: list[str], step: int = 2000) -> Iterable[bytes]:
+        for k in range(0, len(some), step):
+            for e in self.library.encode_batch_fast(some[k : k + step], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
+
+
+def _bytes(text: str) -> str:
+    """A character for each byte of its UTF-8."""
+    return text if text.isascii() else text.encode().decode("latin-1")
+
+
+def _cached(cache: dict[str, bytes], names: list[str], encode: Callable[[list[str]], Iterable[bytes]]) -> list[bytes]:
+    """What ``cache`` holds of each name; what it lacks is encoded and kept."""
     found = list(map(cache.get, names))
-    new = [k for k, x in enumerate(found) if x is None]
-    for k in range(0, len(new), step):
-        some = new[k : k + step]
-        texts = [names[i] for i in some]
-        for at, name, x in zip(some, texts, encode(texts), strict=True):
-            found[at] = cache[name] = x
-    return found
+    lacks = [name for name, x in zip(names, found, strict=True) if x is None]
+    if not lacks:
+        return found
+    fresh = list(encode(lacks))
+    cache.update(zip(lacks, fresh, strict=True))
+    rest = iter(fresh)
+    return [next(rest) if x is None else x for x in found]
 
 
 def _strings(column) -> list[str]:
