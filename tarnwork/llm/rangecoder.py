@@ -28,7 +28,7 @@ BLOCK, STEPS, LANES = 1 << 20, 256, 4096
 ONE = 2
 _WHOLE = 28  # bits of the mixture
 _BASE = 22  # bits of the order-0 frequencies
-_COARSE = 8  # bits of a slot of them, in which the decoder looks first
+_COARSE = 7  # bits of a slot of them, in which the decoder looks first
 _TWO_BITS = 18
 #: The largest shares of each prediction, of 65536, so that a 64th of the whole and more is left for order 0.
 _MOST = [58982, 39321, 26214]
@@ -51,7 +51,7 @@ class _Model:
 
     def __init__(self, lanes: int, size: int, decodes: bool = False):
         self.size, self.decodes = size, decodes
-        self.counts, self.seen = np.zeros(size, np.int32), 0
+        self.counts, self.seen, self.known = np.zeros(size, np.int32), 0, 0
         # Frequencies are doubles below 1; their products with 28 bits have 50 bits at most, so they are exact.
         self.plain = np.arange(size + 1) / (1 << _BASE)
         # An entry is an id above nine bits of how firmly it prevails, 255 at most; -1 is none, which no share goes to.
@@ -64,7 +64,8 @@ class _Model:
         self.now, self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
 
     def learn(self) -> None:
-        """Frequencies and shares from all that was counted so far."""
+        """Frequencies from all that was counted so far."""
+        self.known = self.seen
         scale = (((1 << _BASE) - self.size) << 20) // max(1, self.seen)
         used = np.concatenate([[-1], np.flatnonzero(self.counts != 0), [self.size]])
         sums = np.zeros(len(used) - 1, np.int64)
@@ -79,14 +80,16 @@ class _Model:
             self.begins, self.lasts = np.append(0, self.used[1:] + sums[:-1]), self.used + sums
             # The last of them that begins at or before each multiple of a slot's width.
             slots = np.append(self.begins + ((1 << _COARSE) - 1) >> _COARSE, (1 << _BASE - _COARSE) + 2)
-            self.coarse = np.repeat(np.arange(len(sums)), slots[1:] - slots[:-1])
-        shares = np.minimum((self.hits << 16) // self.tries, np.array(_MOST)[:, None])
-        self.shares[:, :, :256] = shares.reshape(-1, 16, 16)[:, :, _CLASS]
+            self.coarse = np.repeat(np.arange(len(sums), dtype=np.int32), slots[1:] - slots[:-1])
 
     def predict(self, n: int, step: int) -> None:
         self.learns = step % max(1, step >> 2) == 0
         if self.learns:
-            self.learn()
+            shares = np.minimum((self.hits << 16) // self.tries, np.array(_MOST)[:, None])
+            self.shares[:, :, :256] = shares.reshape(-1, 16, 16)[:, :, _CLASS]
+            # Frequencies change little until an eighth more ids are known.
+            if 8 * (self.seen - self.known) >= self.seen:
+                self.learn()
         p1, p2, ids = self.prev1[:n], self.prev2[:n], self.now[:n]
         self.at = np.empty((ONE + 1, n), np.int64)
         self.at[0] = (p2 * _MIX2 + p1 * _MIX1 >> _9) & _SLOTS
