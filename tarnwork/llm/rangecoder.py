@@ -5,7 +5,8 @@ all lanes of a block share one model, which each step's ids update together.  Th
 
 * order 2: the id that prevails after the two ids before, if it is this one, with a share of its own;
 * order 1: likewise each of the ``ONE`` ids that prevail after the id before;
-* order 0: what is left of the whole, dealt by the frequencies of all ids of the block so far, none of them zero.
+* order 0: what is left of the whole, dealt by the frequencies of the ids of the block so far, none of them zero.  They are
+  summed again when an eighth more ids are known.
 
 The shares are the mixing weights.  They adapt: the share of a prediction is how often predictions of like confidence
 have held so far, among the cases that no earlier one has told.  The sum gives each id one interval of the range coder.
