@@ -173,11 +173,61 @@ def _levels(src: np.ndarray, dst: np.ndarray, own: np.ndarray, n: int) -> Iterat
         front = after
 
 
+def _depth_first(levels: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], own: np.ndarray, n: int, wanted: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of (lane, offsets, nodes): the paths that :func:`_levels` tells, lane by lane, each next to the one it prolongs.
+
+    Neighbouring rows then differ in their last nodes alone, which is what Parquet's codecs make small.  Only paths to
+    ``wanted`` nodes are given.
+    """
+    # Spots in a table of lanes by nodes; four bytes where that suffices.
+    kind = np.int32 if len(own) * n < 1 << 31 else np.int64
+    roots = (np.arange(len(own)) * n + own).astype(kind)
+    steps, size = [(roots, roots, None)], np.ones(len(own) * n, np.int32)
+    for lane, node, before in levels:
+        lane = lane.astype(kind) * kind(n)
+        parent = lane + before.astype(kind)
+        by_parent = np.argsort(parent, kind="stable")
+        parent = parent[by_parent]
+        steps.append(((lane + node.astype(kind))[by_parent], parent, np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])))
+    for spot, parent, first in steps[:0:-1]:
+        size[parent[first]] += np.add.reduceat(size[spot], first)
+    # A path stands after the one it prolongs and after all that prolong its earlier siblings.
+    at = np.zeros(len(size), kind)
+    at[roots] = np.cumsum(size[roots]) - size[roots]
+    total = int(size[roots].sum())
+    order, depth = np.empty(total, kind), np.empty(total, np.int32)
+    for step, (spot, parent, first) in enumerate(steps):
+        if step:
+            earlier = np.cumsum(size[spot], dtype=kind) - size[spot]
+            at[spot] = at[parent] + kind(1) + earlier - np.repeat(earlier[first], np.diff(np.r_[first, len(spot)]))
+        where = at[spot]
+        order[where], depth[where] = spot, step
+    del steps, size, at
+    lane, node = np.divmod(order, kind(n))
+    # Of the rows up to one, the last of each smaller depth are its ancestors.
+    columns = np.arange(depth.max() + 1, dtype=np.int32)
+    last = np.zeros(len(columns), kind)
+    rows = max(1, min(1 << 14, (1 << 21) // len(columns)))
+    for a in range(0, total, rows):
+        deep = depth[a : a + rows]
+        above = np.zeros((len(deep), len(columns)), kind)
+        above[0] = last
+        above[np.arange(len(deep)), deep] = np.arange(a, a + len(deep))
+        np.maximum.accumulate(above, axis=0, out=above)
+        last = above[-1].copy()
+        keep = deep > 0
+        if wanted is not None:
+            keep &= wanted[node[a : a + rows]]
+        if keep.any():
+            deep = deep[keep]
+            yield lane[a : a + rows][keep], np.r_[0, np.cumsum(deep + 1)].astype(np.int32), node[above[keep][columns <= deep[:, None]]]
+
+
 def _searches(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...], directed: bool = False, paths: bool = False, separator: str | None = None, target: int | None = None, sources: int = 512) -> DataFrame:
     """Shortest paths from all nodes: (keys, src, dst, d, prev), or with ``paths`` (keys, src, dst, path).
 
-    A task has a component's edges and ``sources`` of its nodes (fewer, down to 64, in components of over 8,000), and
-    gives rows level by level, so it holds two levels.
+    A task has a component's edges and ``sources`` of its nodes (fewer, down to 64, in components of over 8,000).  Lengths
+    are given level by level, so it holds two levels; paths source by source and depth first, from predecessors that it holds.
     A path is a list of ids, or with ``separator`` their text; only paths to ``target`` are given where there is one.
     """
     e = edges.where("src <> dst").select(*keys, "src", "dst").distinct() if directed else _both(edges, keys)
@@ -215,33 +265,17 @@ def _searches(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...], directe
             columns = [*(pa.repeat(k, n) for k in key[:n_keys]), names.take(pa.array(own[lane])), *columns]
             return pa.RecordBatch.from_arrays(columns, names=out_names)
 
-        if paths:
-            place = np.zeros((len(names), len(own)), np.int32)
-            place[own, np.arange(len(own))] = np.arange(len(own))
-            way = texts.take(pa.array(own)) if texts is not None else own.astype(np.int32)[:, None]
-        for step, (lane, node, before) in enumerate(_levels(src[~loop][order], dst[~loop][order], own, len(names)), 1):
-            if paths:
-                parent = place[before, lane]
-                place[node, lane] = np.arange(len(node))
-                if texts is not None:
-                    way = pc.binary_join_element_wise(way.take(pa.array(parent)), texts.take(pa.array(node)), separator)
-                else:
-                    way = np.column_stack([way[parent], node.astype(np.int32)])
-            for a in range(0, len(node), 1 << 16):
-                some = slice(a, a + (1 << 16))
-                at_lane, at_node, at_before = lane[some], node[some], before[some]
-                if not paths:
-                    yield batch(len(at_node), at_lane, names.take(pa.array(at_node)), pa.repeat(pa.scalar(step, pa.int32()), len(at_node)), names.take(pa.array(at_before)))
-                    continue
-                part = way[some] if texts is None else way.slice(a, 1 << 16)
-                dst_ids = names.take(pa.array(at_node))
-                if target is not None:
-                    wanted = pc.equal(dst_ids, pa.scalar(target, type_))
-                    k = np.flatnonzero(wanted.to_numpy(zero_copy_only=False))
-                    part, dst_ids, at_lane = (part[k] if texts is None else part.take(pa.array(k))), dst_ids.take(pa.array(k)), at_lane[k]
-                if texts is None:
-                    part = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * (step + 1)), names.take(pa.array(part.ravel())))
-                yield batch(len(dst_ids), at_lane, dst_ids, part)
+        levels = _levels(src[~loop][order], dst[~loop][order], own, len(names))
+        if not paths:
+            for step, (lane, node, before) in enumerate(levels, 1):
+                for a in range(0, len(node), 1 << 16):
+                    at_node = node[a : a + (1 << 16)]
+                    yield batch(len(at_node), lane[a : a + (1 << 16)], names.take(pa.array(at_node)), pa.repeat(pa.scalar(step, pa.int32()), len(at_node)), names.take(pa.array(before[a : a + (1 << 16)])))
+            return
+        wanted = None if target is None else pc.equal(names, pa.scalar(target, type_)).to_numpy(zero_copy_only=False)
+        for lane, offsets, nodes_on in _depth_first(levels, own, len(names), wanted):
+            way = pa.ListArray.from_arrays(pa.array(offsets), (names if texts is None else texts).take(pa.array(nodes_on)))
+            yield batch(len(lane), lane, names.take(pa.array(nodes_on[offsets[1:] - 1])), way if texts is None else pc.binary_join(way, separator))
 
     id_type = kind.simpleString()
     tail = {"path": "string" if separator is not None else f"array<{id_type}>"} if paths else {"d": "int", "prev": id_type}

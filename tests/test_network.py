@@ -149,6 +149,21 @@ def test_paths_of_all_pairs(spark, monkeypatch, directed):
     assert {(r["k"], r["src"], r["dst"]): r["path"] for r in got} == {x: p for x, p in want.items() if x[2] == 9}
 
 
+def test_paths_lie_next_to_those_they_prolong(spark):
+    """Source by source and depth first, as Parquet takes them at a fraction of the bytes that they have level by level."""
+    n = [("s", 10007 + 13 * k) for k in range(400)]
+    e = [("s", n[a][1], n[b][1]) for a in range(400) for b in (a + 1, a + 20) if b < 400 and (b - a > 1 or b % 20)]
+    nodes, edges = spark.createDataFrame(n, "k string, id long"), spark.createDataFrame(e, "k string, src long, dst long")
+    rows = [(r["src"], r["dst"], r["path"]) for r in graph.shortest_path(edges, nodes, keys=("k",), separator="-").where("src <> dst").collect()]
+    want = {x[1:]: "-".join(map(str, p)) for x, p in walks(n, e, False).items() if len(p) > 1}
+    assert len(rows) == len(want) and {(a, b): p for a, b, p in rows} == want
+    last = ""
+    for a, _, path in rows:
+        parent = path.rpartition("-")[0]
+        assert parent == str(a) or last == parent or last.startswith(f"{parent}-")
+        last = path
+
+
 def test_empty_inputs(spark):
     _, df = points(spark, 0, 1)
     edges = network.edges(network.undirected(df))
